@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import langid, lm, neardup, packing, tokencount
+from lumenfold.llm import chat, decontam, langid, license, lm, neardup, packing, tokencount
 from lumenfold.sources import table
 
 
@@ -32,10 +32,25 @@ def op4_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"), held_out)
 
 
+def op5_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.chat_digests(chats, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_documents, op2_identify_language, op3_near_duplicates, op4_score_texts, op7_count_tokens)}
+def op8_find_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_documents, op2_identify_language, op3_near_duplicates, op4_score_texts, op5_format_chats, op7_count_tokens, op8_find_leaks, op10_scan_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
