@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import chat, decontam, langid, license, lm, neardup, packing, tokencount
+from lumenfold.llm import chat, decontam, langid, license, lm, neardup, packing, pii, tokencount
 from lumenfold.sources import table
 
 
@@ -47,10 +47,14 @@ def op8_find_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_find_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
 def op10_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_documents, op2_identify_language, op3_near_duplicates, op4_score_texts, op5_format_chats, op7_count_tokens, op8_find_leaks, op10_scan_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_documents, op2_identify_language, op3_near_duplicates, op4_score_texts, op5_format_chats, op7_count_tokens, op8_find_leaks, op9_find_personal_data, op10_scan_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
