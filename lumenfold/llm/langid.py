@@ -54,10 +54,11 @@ class LanguageModel:
 
 
 def buckets(text: bytes, bits: int) -> Iterator[np.ndarray]:
-    """Bucket numbers of all subwords (0: none here), for each order; overlapping segments of long texts."""
-    for at in range(0, max(1, len(text)), SEGMENT):
-        a = np.frombuffer(b" " + text[max(0, at - max(ORDERS) + 1) : at + SEGMENT].translate(PARTS) + b" ", np.uint8).astype(np.uint32)
-        skip = 0 if at == 0 else max(ORDERS) - 1
+    """Bucket numbers of all subwords (0: none here), for each order, by segments of long texts."""
+    padded = b" " + text.translate(PARTS) + b" "
+    for at in range(0, len(padded), SEGMENT):
+        again = min(at, max(ORDERS) - 1)  # bytes of the segment before, in which no subword ends anew
+        a = np.frombuffer(padded[at - again : at + SEGMENT], np.uint8).astype(np.uint32)
         letter = a != 32
         for n in ORDERS:
             m = len(a) - n + 1
@@ -71,9 +72,9 @@ def buckets(text: bytes, bits: int) -> Iterator[np.ndarray]:
             valid = letter[1 : 1 + m] if n > 2 else letter[:m] | letter[1 : 1 + m]
             if n > 3:
                 valid = valid & letter[2 : 2 + m]
-            if skip:
-                valid[: max(0, skip - n + 2)] = False
-            yield np.where(valid, np.maximum(key, 1), 0)
+            found = np.where(valid, np.maximum(key, 1), 0)
+            found[: max(0, again - n + 1)] = 0
+            yield found
 
 
 def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:

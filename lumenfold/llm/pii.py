@@ -275,3 +275,11 @@ def redacted(text: Column, spans: dict[str, Column]) -> Column:
 
     whole = F.aggregate(tagged, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(tagged) > 0, whole).otherwise(text)
+
+
+def redact(df: DataFrame, *, text_col: str = "text", classifier: SpanClassifier | None = None) -> DataFrame:
+    """All rows and columns, with personal data in ``text_col`` replaced by its kind; null text stays null."""
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    found = find_spans(whole, id_col="row", text_col="text", classifier=classifier or train(whole, id_col="row", text_col="text"))
+    clean = F.when(F.col("row").getField(text_col).isNotNull(), redacted(F.col("text"), {k: F.col(f"spans_{k}") for k in KINDS}))
+    return found.select(*[clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns])
