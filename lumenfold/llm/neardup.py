@@ -1,16 +1,21 @@
 """Near-duplicate groups by bottom-k sketches from one hash function.
 
 1. Each text becomes its set of 5-word shingle hashes; equal sets are one class from here on (copies are never
-   paired), known by its smallest id. A class's sketch is the k smallest hashes of its set.
-2. Inverted lists of the retained values: values that only one class retains are dropped. Two sets of Jaccard
-   similarity t share about t*k of their retained values, so a class lists only its rarest (k - overlap + 1) values,
-   ``overlap`` being far in the tail (see ``overlap_for``; for sets of at most k shingles it is exact). Passages that
-   many texts share are frequent values and are hardly ever listed.
-3. Stars: within each list, every class is compared with the list's most central class only. Groups of thousands of
+   paired), known by its smallest id. A class's short sketch is the k smallest hashes of its set.
+2. Inverted lists of the values in short sketches: a class of which fewer than ``overlap_for`` values are retained by
+   any other class has no near duplicate and is done with. That settles most classes.
+3. The rest retain up to ``long_k`` of their smallest hashes, nearly always the whole set, in inverted lists again.
+   Sets that are similar enough share a value among the rarest few of both: among the first n - overlap + 1 of n in
+   order of frequency, and, for a given pair of sizes, among fewer still. Only these are listed, with their places, so
+   that common passages, being frequent, are hardly ever listed.
+4. Stars: within each list, every class is compared with the list's most central class only. Groups of thousands of
    near copies fall together in a linear number of comparisons. Then all pairs of a list that are still in different
-   components are compared, so no link that could join two components is left out.
-4. A comparison first estimates similarity from the union of both sketches and drops pairs far below the threshold,
-   then counts the intersection of both full sets.
+   components, and whose sizes and places allow it, are compared: no link that could join two components is left out.
+5. A comparison first estimates similarity from the union of both short sketches and drops pairs far below the
+   threshold, then counts the intersection of both full sets.
+
+For sets of at most long_k shingles, steps 3 and 4 miss no link; where a bound is on a sample (step 2, the estimate,
+larger sets), it lies ``tails`` standard deviations from the mean.
 """
 
 from __future__ import annotations
@@ -36,15 +41,25 @@ class Settings:
     percent: int = 85
     words: int = 5
     k: int = 64
+    long_k: int = 1024
     tails: float = 6.4
-    stars: int = 2
     filter_bits: int = 24
 
 
-def overlap_for(s: Settings) -> int:
+def overlap_for(s: Settings, k: int) -> int:
     """Values that two sketches of k share at least, if their sets are similar enough: the mean less ``tails`` deviations."""
     t = s.percent / 100
-    return max(1, int(s.k * t - s.tails * (s.k * t * (1 - t)) ** 0.5))
+    return max(1, int(k * t - s.tails * (k * t * (1 - t)) ** 0.5))
+
+
+def _need(n: Column, s: Settings, k: int) -> Column:
+    """Values of its sketch that a set of n shares at least with any set that is similar enough."""
+    return F.when(n > k, F.lit(overlap_for(s, k))).otherwise(F.ceil(n * s.percent / 100)).cast("int")
+
+
+def _prints(sets: list[np.ndarray]) -> list[bytes]:
+    """128 bits that stand for a whole set."""
+    return [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
 
 
 def _signatures(source: DataFrame, s: Settings) -> DataFrame:
@@ -53,8 +68,7 @@ def _signatures(source: DataFrame, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
             sets = shingle_sets(as_bytes(batch.column("text")), s.words)
-            prints = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-            columns = [batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([x[: s.k] for x in sets], pa.list_(pa.int64()))]
+            columns = [batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(_prints(sets), pa.binary()), pa.array([x[: s.k] for x in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "print", "sketch"])
 
     return source.mapInArrow(run, f"id {kind}, n bigint, print binary, sketch array<bigint>")
@@ -79,10 +93,25 @@ def _full_sets(source: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
             batch = batch.filter(pa.array((shared.value[slots >> 6] >> (slots & 63)) & 1 == 1))
             if batch.num_rows:
                 sets = shingle_sets(as_bytes(batch.column("text")), s.words)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_prints(sets), pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "print", "set"])
+
+    found = source.where("id is not null").withColumn("slot", _slot(F.col("id"), bits)).mapInArrow(run, f"id {kind}, print binary, set array<bigint>")
+    return found.join(wanted, ["id", "print"], "left_semi").dropDuplicates(["id", "print"])
+
 
-    found = source.where("id is not null").withColumn("slot", _slot(F.col("id"), bits)).mapInArrow(run, f"id {kind}, set array<bigint>")
-    return found.join(wanted, "id", "left_semi")
+def _lists(sets: DataFrame, s: Settings) -> DataFrame:
+    """(v, id, n, central, place) of the values that a class lists; place: how many of its values come before.
+
+    Values come in order of how many classes retain them, then of the value; those that no other class retains come
+    first and are only counted. central: how often a class's values are retained in all.
+    """
+    kept = sets.select("id", "print", F.size("set").alias("n"), F.explode(F.slice("set", 1, s.long_k)).alias("v"))
+    shared = kept.join(kept.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "v")
+    held = shared.groupBy("id", "print", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    alone = F.least("n", F.lit(s.long_k)) - F.size("held")
+    counted = held.withColumn("alone", alone).withColumn("listed", F.size("held") - _need(F.col("n"), s, s.long_k) + 1).where("listed > 0")
+    central = F.aggregate("held", F.lit(0).cast("bigint"), lambda t, x: t + x["df"])
+    return counted.select("id", "n", central.alias("central"), "alone", F.posexplode(F.expr("slice(held.v, 1, listed)")).alias("at", "v")).select("v", "id", "n", "central", (F.col("alone") + F.col("at")).alias("place"))
 
 
 def _sized(s: Settings) -> Column:
@@ -119,27 +148,23 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     named = signatures.where("n > 0 and id is not null")
     classes = space.save(named.groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
-    need = F.when(F.col("n") > s.k, F.lit(overlap_for(s))).otherwise(F.ceil(F.col("n") * s.percent / 100)).cast("int")
-    values = classes.select("id", "n", F.explode("sketch").alias("v"))
-    frequent = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = values.join(frequent, "v").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
-    listed = shared.withColumn("listed", F.size("held") - need + 1).where("listed > 0")
-    central = F.aggregate("held", F.lit(0).cast("bigint"), lambda t, x: t + x["df"])
-    lists = space.save(listed.select("id", "n", central.alias("central"), F.explode(F.expr("slice(held.v, 1, listed)")).alias("v")), "lists")
-
-    wanted = lists.select("id").distinct()
+    values = classes.select("id", "print", "n", F.explode("sketch").alias("v"))
+    frequent = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
+    wanted = values.join(frequent, "v", "left_semi").groupBy("id", "print", "n").count().where(F.col("count") >= _need(F.col("n"), s, s.k))
+    wanted = space.save(wanted.select("id", "print"), "wanted")
     sets = space.save(_full_sets(source, wanted, s), "sets")
-    sketches = classes.join(wanted, "id", "left_semi").select("id", "n", "sketch")
+    lists = space.save(_lists(sets, s), "lists")
+    sketches = classes.join(wanted, ["id", "print"], "left_semi").select("id", "n", "sketch")
 
     links, roots = None, None
-    for i in range(s.stars + 1):
+    for i in range(2):
         open_lists = lists if roots is None else lists.join(roots.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("root", F.coalesce("root", "id"))
         if roots is None:
             pairs = _star(open_lists, s)
         else:
             split = open_lists.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("v")
             open_lists = open_lists.join(split, "v", "left_semi")
-            pairs = _star_of_rest(open_lists, s) if i < s.stars else _across(open_lists, s)
+            pairs = _across(open_lists, s)
         found = space.save(_verified(pairs, sketches, sets, s), f"links-{i}")
         links = found if links is None else links.unionByName(found)
         roots = connected_components(links, space, f"roots-{i}")
@@ -159,16 +184,13 @@ def _star(lists: DataFrame, s: Settings) -> DataFrame:
     return _paired(lists.withColumnsRenamed({"id": "b", "n": "bn"}).join(hubs, "v").where("a <> b"), s)
 
 
-def _star_of_rest(lists: DataFrame, s: Settings) -> DataFrame:
-    """Each list's members with the most central one of another component than the most central one's."""
-    first = lists.groupBy("v").agg(F.max(F.struct("central", "id", "root")).alias("top")).select("v", F.col("top.root").alias("top_root"))
-    hubs = lists.join(first, "v").where("root <> top_root").groupBy("v").agg(F.max(F.struct("central", "id", "n", "root")).alias("hub")).select("v", F.col("hub.id").alias("a"), F.col("hub.n").alias("an"), F.col("hub.root").alias("a_root"))
-    return _paired(lists.withColumnsRenamed({"id": "b", "n": "bn"}).join(hubs, "v").where("a_root <> root"), s)
-
-
 def _across(lists: DataFrame, s: Settings) -> DataFrame:
-    """All pairs of a list whose components differ."""
-    left = lists.select("v", F.col("id").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-    right = lists.select("v", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
-    on = (left["v"] == right["v"]) & (left["a"] < right["b"]) & (left["ar"] != right["br"]) & _sized(s)
+    """Pairs of a list whose components differ and whose first common value may stand at their places."""
+    left = lists.select("v", F.col("id").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"), F.col("place").alias("ap"))
+    right = lists.select("v", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"), F.col("place").alias("bp"))
+    k, both = s.long_k, 100 + s.percent
+    # of n values, those from the first common one on must hold the whole overlap
+    overlap = f"if(greatest(an, bn) > {k}, {overlap_for(s, k)}, cast(ceil({s.percent} * (an + bn) / {both}) as int))"
+    placed = F.expr(f"ap <= least(an, {k}) - {overlap} and bp <= least(bn, {k}) - {overlap}")
+    on = (left["v"] == right["v"]) & (left["a"] < right["b"]) & (left["ar"] != right["br"]) & _sized(s) & placed
     return left.join(right, on).select("a", "b").distinct()

@@ -66,12 +66,29 @@ def test_components_equal_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, n long, id string")
     want = brute(rows)
-    for stars in (0, 2):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, settings=Settings(stars=stars)).collect()}
+    for settings in (Settings(), Settings(k=24, long_k=100)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, settings=settings).collect()}
         assert got == want
     assert len({c for _, c in want.values()}) < len(rows) - 100
 
 
+def test_no_link_is_lost_among_thousands_of_pairs(spark):
+    """Many edited copies of few texts, linked to some and nearly to the others."""
+    rng = random.Random(9)
+    rows = []
+    for n in (40, 120, 300):
+        base = [f"w{rng.randrange(500)}" for _ in range(n)]
+        for _ in range(90):
+            near = list(base)
+            for _ in range(rng.randrange(0, max(2, n // 25))):
+                near[rng.randrange(n)] = f"x{rng.randrange(3)}"
+            rows.append(" ".join(near))
+    rng.shuffle(rows)
+    want = brute(list(enumerate(rows)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_edges_of_the_contract(spark):
     same = "one two three four five six"
     df = spark.createDataFrame([(7, same), (7, same), (9, same), (None, same), (11, None), (12, "")], "doc_id long, text string")
@@ -101,4 +118,4 @@ def test_connected_components(spark):
 
 
 def test_overlap_is_far_in_the_tail():
-    assert 30 <= overlap_for(Settings()) <= 40
+    assert 30 <= overlap_for(Settings(), 64) <= 40 and 750 <= overlap_for(Settings(), 1024) <= 850
