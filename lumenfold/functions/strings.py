@@ -52,7 +52,7 @@ def tokens(c: Column) -> Column:
 
 def strip_fences(c: Column) -> Column:
     """Text without the code fence around it."""
-    return F.regexp_replace(F.regexp_replace(F.trim(c), r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
+    return F.regexp_replace(F.regexp_replace(c, r"^\s*```[A-Za-z]*\s*", ""), r"\s*```\s*$", "")
 
 
 def url_extension(url: Column) -> Column:

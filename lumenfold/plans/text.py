@@ -22,7 +22,7 @@ def slug_video(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", strings.video_slug(title).alias("slug"))
 
 
-@query(rf"SELECT card_id, trim(regexp_replace(regexp_replace(lower(name || ' // ' || layout), '[''"",.!?:]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM {CARDS}")
+@query(f"""SELECT card_id, trim(regexp_replace(regexp_replace(lower(name || ' // ' || layout), '[''",.!?:]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM {CARDS}""")
 def slug_card_name(spark, sf_dir):
     return cards(spark, sf_dir).select("card_id", strings.name_slug(F.concat("name", F.lit(" // "), "layout")).alias("slug"))
 
