@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import chat, decontam, langid, license, lm, neardup, packing, pii, tokencount
+from lumenfold.llm import chat, decontam, langid, license, lm, media, neardup, packing, pii, tokencount
 from lumenfold.sources import table
 
 
@@ -39,6 +39,12 @@ def op5_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chats, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_picture_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds pictures: each embedding is rendered as one, and every twentieth also cropped and darkened."""
+    pictures = media.rendered(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return media.picture_copies(pictures).withColumnRenamed("id", "picture_id")
+
+
 def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -55,6 +61,6 @@ def op10_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_documents, op2_identify_language, op3_near_duplicates, op4_score_texts, op5_format_chats, op7_count_tokens, op8_find_leaks, op9_find_personal_data, op10_scan_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_documents, op2_identify_language, op3_near_duplicates, op4_score_texts, op5_format_chats, op6_picture_copies, op7_count_tokens, op8_find_leaks, op9_find_personal_data, op10_scan_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
