@@ -164,14 +164,14 @@ def latest_full_reload(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT user_id, CAST(epoch_ms(ts) AS BIGINT) AS at_ms FROM events),
-k AS (SELECT user_id, min(at_ms) AS at_ms FROM e GROUP BY 1 UNION ALL SELECT k.user_id, (SELECT min(e.at_ms) FROM e WHERE e.user_id = k.user_id AND e.at_ms >= k.at_ms + 86400000) FROM k WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = k.user_id AND e.at_ms >= k.at_ms + 86400000))
-SELECT user_id, at_ms FROM k
+WITH RECURSIVE e AS (SELECT user_id, CAST(epoch_us(ts) AS BIGINT) AS at_us FROM events),
+k AS (SELECT user_id, min(at_us) AS at_us FROM e GROUP BY 1 UNION ALL SELECT k.user_id, (SELECT min(e.at_us) FROM e WHERE e.user_id = k.user_id AND e.at_us >= k.at_us + 86400000000) FROM k WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = k.user_id AND e.at_us >= k.at_us + 86400000000))
+SELECT user_id, at_us FROM k
 """)
 def frame_sampling_fps(spark, sf_dir):
     """Frames at least a period after the last one kept, here a day of a user's events."""
-    rows = table(spark, sf_dir, "events").select("user_id", F.unix_millis("ts").alias("at_ms"))
-    return sequential.sample_frames(rows, "user_id", "at_ms", 86_400_000)
+    rows = table(spark, sf_dir, "events").select("user_id", F.unix_micros("ts").alias("at_us"))
+    return sequential.sample_frames(rows, "user_id", "at_us", 86_400_000_000)
 
 
 def scans(spark, sf_dir):
