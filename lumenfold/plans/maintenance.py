@@ -129,11 +129,11 @@ def table_delete(spark, sf_dir):
     return R.delete_by_key(frames(spark, sf_dir), gone, ["video_id"]).select("seq")
 
 
-@query(f"SELECT video_id, channel, CASE WHEN video_id % 2 = 0 THEN 'mtg' END AS game FROM {VIDEOS}")
+@query(f"SELECT video_id, channel, CASE WHEN video_id % 2 = 0 THEN 'first' END AS game FROM {VIDEOS}")
 def add_column(spark, sf_dir):
     """Old rows without a column and new rows with it."""
     rows = videos(spark, sf_dir).select("video_id", "channel")
-    return rows.where("video_id % 2 <> 0").unionByName(rows.where("video_id % 2 = 0").withColumn("game", F.lit("mtg")), allowMissingColumns=True)
+    return rows.where("video_id % 2 <> 0").unionByName(rows.where("video_id % 2 = 0").withColumn("game", F.lit("first")), allowMissingColumns=True)
 
 
 @query(f"SELECT seq, CASE WHEN seq % 5 = 0 THEN 'ok' END AS review FROM {FRAMES} WHERE line = 1")
