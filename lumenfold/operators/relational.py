@@ -63,8 +63,10 @@ def resolve(records: DataFrame, catalog: DataFrame, keys: list[str], record_id:
 
     Several matches without any art are ambiguous. The smallest card id stands for a group that is resolved.
     """
-    joined = records.join(catalog.select(*keys, F.col(card_id).alias("__card"), F.nullif(F.col(art), F.lit("")).alias("__art")), keys, "left")
-    found = joined.groupBy(record_id).agg(F.count("__card").alias("n"), F.countDistinct("__art").alias("arts"), F.min("__card").alias("first"), F.count("__art").alias("with_art"))
+    art_of = F.nullif(F.col(art), F.lit(""))
+    # the catalog is counted by key before the join, so that no record meets its candidates one by one
+    grouped = catalog.groupBy(*keys).agg(F.count(card_id).alias("n"), F.countDistinct(art_of).alias("arts"), F.min(card_id).alias("first"), F.count(art_of).alias("with_art"))
+    found = records.join(grouped, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     same = (F.col("arts") == 1) & (F.col("with_art") == F.col("n"))
     status = F.when(F.col("n") == 0, "not_found").when(F.col("n") == 1, "resolved").when(same, "ambiguous_same_art").otherwise("ambiguous")
     return found.select(record_id, "n", status.alias("status"), F.when(status.isin("resolved", "ambiguous_same_art"), F.col("first")).alias(card_id))

@@ -64,10 +64,9 @@ def coverage_pivot(spark, sf_dir):
     printed = _top(spark, sf_dir).select("art_id", "name").join(cards(spark, sf_dir).select("art_id", "card_id", (F.col("number") % 5).cast("string").alias("page")), "art_id")
     counts = frames(spark, sf_dir).where("dist <= 10").join(printed.select("card_id"), "card_id", "left_semi").groupBy("card_id").agg(F.count("*").alias("frames"))
     grid = printed.join(counts, "card_id", "left").groupBy("art_id", "name", "page").agg(F.sum(F.coalesce("frames", F.lit(0))).alias("frames"))
-    totals = grid.groupBy("art_id", "name").agg(F.sum("frames").alias("total_frames"), F.count_if(F.col("frames") > 0).alias("pages_with_frames"), F.count("*").alias("pages_printed"))
-    cells = grid.groupBy("art_id").pivot("page", list(LAYOUT)).agg(F.max("frames"))
-    shown = [F.coalesce(F.col(p).cast("string"), F.lit("N/A")).alias(f"Page [{p}]") for p in LAYOUT]
-    return totals.join(cells, "art_id").select("art_id", "name", "total_frames", "pages_with_frames", "pages_printed", *shown)
+    # one pass over the grid: totals, and a column for each page of the fixed list
+    shown = [F.coalesce(F.max(F.when(F.col("page") == p, F.col("frames"))).cast("string"), F.lit("N/A")).alias(f"Page [{p}]") for p in LAYOUT]
+    return grid.groupBy("art_id", "name").agg(F.sum("frames").alias("total_frames"), F.count_if(F.col("frames") > 0).alias("pages_with_frames"), F.count("*").alias("pages_printed"), *shown)
 
 
 @query("SELECT quality, " + ", ".join(f"CAST(count_if(least(doc_id % 7, 2) = {i}) AS BIGINT) AS predicted_{i}" for i in range(3)) + " FROM labels GROUP BY 1")
