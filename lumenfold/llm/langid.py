@@ -35,7 +35,7 @@ class Settings:
 
     bits: int = 16
     dim: int = 16
-    sample: int = 500
+    sample: int = 250
     epochs: int = 12
     rate: float = 8.0
     batch: int = 16
@@ -161,11 +161,13 @@ def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids, counts = features(text, bits)
                 if len(ids):
-                    yield pa.RecordBatch.from_pydict({"lang": [lang], "ids": [ids.astype(np.int32)], "counts": [counts]}, schema=pa.schema([("lang", pa.string()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]))
+                    yield pa.RecordBatch.from_pydict({"lang": [lang], "ids": [ids.astype(np.int32)], "counts": [counts.astype(np.int32)]}, schema=pa.schema([("lang", pa.string()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
 
-    sample = source.where(drawn < F.element_at(known, F.col("lang"))).limit(2 * settings.sample * len(share))
-    rows = sample.select("lang", "text").mapInArrow(run, "lang string, ids array<int>, counts array<bigint>").toArrow()
-    found = [(r, np.asarray(i.values if hasattr(i, "values") else i), np.asarray(c.values if hasattr(c, "values") else c)) for r, i, c in zip(rows["lang"].to_pylist(), rows["ids"], rows["counts"], strict=True)]
+    sample = source.where(drawn < F.element_at(known, F.col("lang"))).select("lang", "text").mapInArrow(run, "lang string, ids array<int>, counts array<int>")
+    rows = sample.limit(2 * settings.sample * len(share)).toArrow()
+    found = [(r, np.array(i.values), np.array(c.values)) for r, i, c in zip(rows["lang"].to_pylist(), rows["ids"], rows["counts"], strict=True)]
+    del rows
+    pa.default_memory_pool().release_unused()  # the driver goes on to other work
     found.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     return fit(found, settings)
 
