@@ -23,8 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id."""
-    dropped = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    """Of each group of near duplicates, of a similarity of 0.8 or more, the document with the smallest id."""
+    dropped = neardup.near_duplicates(docs, settings=neardup.Settings(percent=80)).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

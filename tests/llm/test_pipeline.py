@@ -61,3 +61,19 @@ def test_run(spark, planted):
     where, rows = planted
     got = {r.doc_id for r in corpus_pipeline.run(spark, where).collect()}
     assert got == set(rows) - {200, 201, 202, 203, 204, 300, 301, 302}
+
+
+def test_near_copies_of_a_similarity_from_0_8(spark, planted):
+    where, _ = planted
+    rng, rows, gone = random.Random(23), [], set()
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for shared, gains in ((158, False), (160, True), (164, True), (168, True), (170, True)):  # of 200 shingles
+        text = words(204)
+        rows += [" ".join(text), " ".join(text[: shared + 4])]
+        gone |= {len(rows) - 1} if gains else set()
+    text = words(204)
+    rows += [" ".join(text), " ".join(text[:184] + words(20))]  # 180 of 220
+    gone.add(len(rows) - 1)
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, where).collect()}
+    assert kept == set(range(len(rows))) - gone
