@@ -14,8 +14,8 @@
 5. A comparison first estimates similarity from the union of both short sketches and drops pairs far below the
    threshold, then counts the intersection of both full sets.
 
-For sets of at most long_k shingles, steps 3 and 4 miss no link; where a bound is on a sample (step 2, the estimate,
-larger sets), it lies ``tails`` standard deviations from the mean.
+For pairs whose union fits into long_k shingles, steps 3 and 4 miss no link; where a bound is on a sample (step 2, the
+estimate, larger unions), it lies ``tails`` standard deviations from the mean.
 """
 
 from __future__ import annotations
@@ -53,8 +53,13 @@ def overlap_for(s: Settings, k: int) -> int:
 
 
 def _need(n: Column, s: Settings, k: int) -> Column:
-    """Values of its sketch that a set of n shares at least with any set that is similar enough."""
-    return F.when(n > k, F.lit(overlap_for(s, k))).otherwise(F.ceil(n * s.percent / 100)).cast("int")
+    """Values of its sketch that a set of n shares at least with any set's sketch, if the sets are similar enough.
+
+    Exact where all of any such union fits a sketch (it has at most n * 100 / percent values); else the k smallest of
+    the union may be a sample, of which either sketch holds its part.
+    """
+    whole = F.ceil(n * s.percent / 100)
+    return F.when(n * 100 > s.percent * k, F.least(whole, F.lit(overlap_for(s, k)))).otherwise(whole).cast("int")
 
 
 def _prints(sets: list[np.ndarray]) -> list[bytes]:

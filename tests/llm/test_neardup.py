@@ -119,3 +119,15 @@ def test_connected_components(spark):
 
 def test_overlap_is_far_in_the_tail():
     assert 30 <= overlap_for(Settings(), 64) <= 40 and 750 <= overlap_for(Settings(), 1024) <= 850
+
+
+def test_links_of_sets_about_as_large_as_a_sketch(spark):
+    """The larger set's sketch is a sample where the smaller set's is whole."""
+    rng, rows, pairs = random.Random(17), [], []
+    sizes = [(60, 70), (61, 71), (62, 72), (63, 74), (64, 74), (64, 75), (1000, 1170), (1000, 1176), (1020, 1200), (1024, 1204)]
+    for n, m in sizes * 8:
+        words = [f"w{rng.randrange(10**9)}" for _ in range(m + 4)]
+        pairs.append(len(rows))
+        rows += [" ".join(words[: n + 4]), " ".join(words)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [i for i in pairs if got[i + 1] != i] == []
