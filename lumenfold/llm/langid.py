@@ -3,8 +3,9 @@
 Subwords are byte n-grams of lower-cased words with their boundaries, hashed into buckets. A text's vector is the
 mean of its subwords' embeddings; embeddings and softmax are trained together by stochastic gradient descent in numpy
 on the driver, over a bounded sample of labelled rows whose features (at most one count a bucket, however long the
-text) are computed on the executors. Probabilities are calibrated by a temperature and a rejection threshold on a part
-of the sample that training doesn't see. As the softmax is linear, each bucket's contribution to the logits is a fixed
+text) are computed on the executors. Probabilities are calibrated by a temperature on a part of the sample that training
+doesn't see. The same part sets two bounds of rejection: on the probability, and on the share of subwords that are new
+to the model, which tells junk and texts of other languages however sure the softmax is of them. As the softmax is linear, each bucket's contribution to the logits is a fixed
 vector, so that prediction is one gather and sum over the whole text.
 """
 
@@ -31,7 +32,11 @@ PARTS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` labelled rows a language, chosen by a hash of their id, are learnt from: the one bound here."""
+    """``sample`` labelled rows a language, chosen by a hash of their id, are learnt from: the one bound here.
+
+    ``reject_share``: quantile of held-out texts that rejection starts from. ``run``: subwords that one new word brings;
+    ``tails``: standard deviations of slack for them, in a text of ``varied`` subwords at most.
+    """
 
     bits: int = 16
     dim: int = 16
@@ -41,6 +46,9 @@ class Settings:
     batch: int = 16
     calibration: float = 0.2
     reject_share: float = 0.001
+    run: int = 10
+    tails: float = 6.4
+    varied: int = 400
     seed: int = 7
 
 
@@ -51,6 +59,15 @@ class LanguageModel:
     bias: np.ndarray
     threshold: float
     bits: int
+    new: np.ndarray  # whether training didn't see a bucket
+    novelty: float  # the largest share of new subwords in held-out texts; 1: unknown, nothing is rejected for it
+    slack: float  # tails ** 2 * run
+    varied: int  # subwords beyond which a text may repeat itself, so that its share gets no surer
+
+    def strange(self, fresh: int, count: int) -> bool:
+        """Whether so many of a text's subwords are new that no text like the held-out ones explains it."""
+        u = self.novelty
+        return count > 0 and fresh / count > u + (self.slack * u * (1 - u) / min(count, self.varied)) ** 0.5
 
 
 def buckets(text: bytes, bits: int) -> Iterator[np.ndarray]:
@@ -123,10 +140,17 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings) -> L
     scores = [(data[i][0], data[i][2] @ logits[data[i][1]] + bias) for i in sorted(held)]
     heat = _temperature(scores)
     best = [_softmax(z / heat).max() for _, z in scores]
-    threshold = min(float(np.quantile(best, settings.reject_share)) if best else 0.0, 1.5 / n)
+    # half-way to chance: the least sure of the sample isn't the least sure of all clean texts
+    threshold = (float(np.quantile(best, settings.reject_share)) + 1 / n) / 2 if best else 0.0
+    new = np.ones(size, bool)
+    for i in train:
+        new[data[i][1]] = False
+    new[0] = False
+    shares = [float(rows[i][2][new[rows[i][1]]].sum() / max(1, rows[i][2].sum())) for i in held]
+    novelty = max(0.01, *shares) if shares else 1.0
     logits = (logits / heat).astype(np.float32)
     logits[0] = 0
-    return LanguageModel(languages if rows else (), logits, (bias / heat).astype(np.float32), threshold, settings.bits)
+    return LanguageModel(languages if rows else (), logits, (bias / heat).astype(np.float32), threshold, settings.bits, new, novelty, settings.tails**2 * settings.run, settings.varied)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -180,15 +204,16 @@ def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], n
             names.append(UNDETERMINED)
             rejected.append(True)
             continue
-        total, count = np.zeros(len(model.languages)), 0
+        total, count, fresh = np.zeros(len(model.languages)), 0, 0
         for found in buckets(text.lower().encode(errors="ignore"), model.bits):
             total += model.logits[found].sum(axis=0, dtype=np.float64)
             count += np.count_nonzero(found)
+            fresh += np.count_nonzero(model.new[found])
         p = _softmax(total / max(1, count) + model.bias)
         best = int(p.argmax())
         names.append(model.languages[best])
         scores[i] = p[best]
-        rejected.append(bool(p[best] < model.threshold))
+        rejected.append(bool(p[best] < model.threshold or model.strange(fresh, count)))
     return names, scores, rejected
 
 

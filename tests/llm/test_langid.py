@@ -55,3 +55,26 @@ def test_long_texts_are_read_whole(monkeypatch):
     monkeypatch.setattr(langid, "SEGMENT", 37)
     again, more = langid.features(text, 12)
     assert (ids == again).all() and (counts == more).all()
+
+
+def test_junk_and_unlearnt_languages_are_rejected(spark):
+    rng = random.Random(33)
+    rows = [(i, sentence(rng, lang := list(SPOKEN)[i % 4], rng.randrange(8, 60)), lang) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df.where("doc_id < 800"))
+    names, scores, rejected = langid.predict(model, [t for _, t, _ in rows[800:]])
+    assert sum(rejected) == 0 and np.mean([n == lang for n, (_, _, lang) in zip(names, rows[800:], strict=True)]) > 0.97
+    junk = [
+        "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+        "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, ché la diritta via era smarrita",
+        " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(3, 9))) for _ in range(60)),
+        " ".join(f"{rng.getrandbits(128):032x}" for _ in range(20)),
+        '<td colspan="2"><span id="qk">&nbsp;</span></td>' * 8,
+    ]
+    assert langid.predict(model, junk)[2] == [True] * len(junk)
+    # one new word in a long text that repeats itself is no other language
+    text = sentence(rng, "en", 2000) + " xqj" * 60
+    ids, counts = langid.features(text, model.bits)
+    assert counts[model.new[ids]].sum() > 0.01 * counts.sum() and langid.predict(model, [text])[2] == [False]
