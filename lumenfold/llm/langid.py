@@ -40,7 +40,7 @@ class Settings:
 
     bits: int = 16
     dim: int = 16
-    sample: int = 250
+    sample: int = 500
     epochs: int = 12
     rate: float = 8.0
     batch: int = 16

@@ -78,3 +78,13 @@ def test_junk_and_unlearnt_languages_are_rejected(spark):
     text = sentence(rng, "en", 2000) + " xqj" * 60
     ids, counts = langid.features(text, model.bits)
     assert counts[model.new[ids]].sum() > 0.01 * counts.sum() and langid.predict(model, [text])[2] == [False]
+
+
+def test_sample_is_500_rows_a_language(spark, monkeypatch):
+    """As before it was halved together with a change of memory; the whole of 400 rows is learnt from."""
+    rng = random.Random(34)
+    df = spark.createDataFrame([(i, sentence(rng, list(SPOKEN)[i % 2], 12), list(SPOKEN)[i % 2]) for i in range(800)], "doc_id long, text string, lang string")
+    learnt, fit = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda rows, settings: learnt.extend(rows) or fit(rows, settings))
+    langid.train(df)
+    assert len(learnt) == 800
