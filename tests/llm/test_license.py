@@ -58,3 +58,24 @@ def test_scan(spark):
                 assert abs(max(r.dice for r in by[i]) - best(t)) < 1e-12
     assert len(by[303]) == 3 and len(by[None]) == 1
     assert scan_licenses(df.limit(0)).collect() == []
+
+
+def test_sibling_licences_are_told_apart(spark):
+    """Stewards' notices with what stands around them in files."""
+    gnu = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version. This {} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    of = lambda name: max((t for n, t in TEMPLATES if n == name), key=len)
+    data = {
+        "GPL-2.0": gnu.format("program", ";", "General Public License", ";", "2", "program"),
+        "GPL-3.0": gnu.format("program", ":", "General Public License", ",", "3", "program"),
+        "AGPL-3.0": gnu.format("program", ":", "Affero General Public License", ",", "3", "program"),
+        "LGPL-2.1": gnu.format("library", ";", "Lesser General Public License", ";", "2.1", "library"),
+        "LGPL-3.0": gnu.format("library", ":", "Lesser General Public License", ",", "3", "library"),
+        "BSD-2-Clause": of("BSD-2-Clause").replace("met: R", "met: 1. R").replace("disclaimer. R", "disclaimer. 2. R"),
+        "BSD-3-Clause": of("BSD-3-Clause").replace("met: R", "met: 1. R").replace("disclaimer. R", "disclaimer. 2. R").replace("Neither", "3. Neither"),
+        **{n: of(n) for n in ("MIT", "ISC", "0BSD", "Unlicense", "CC0-1.0", "EPL-2.0", "Zlib")},
+    }
+    df = spark.createDataFrame([(n, f"// Copyright 2020 Some One\n// {t}\nint main() {{}}") for n, t in data.items()], "doc_id string, text string")
+    got = {}
+    for r in scan_licenses(df).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {n: {n} for n in data}
