@@ -4,7 +4,8 @@ A seed is a mask of word positions: the hash covers five words of a window and i
 words at ignored positions don't matter. Every position of every item and text is hashed under each mask; equal
 hashes place an item against a text at an offset. Around such a hit the words of both are compared one by one: the
 item leaks if, in some window of ``window`` aligned words (all of a shorter item), at least ``percent`` of them are
-equal. The masks hit every window of 13 words with any two words substituted.
+equal. The masks hit every window of 13 words with any two words substituted; items of 7 to 11 words have a fourth mask
+of three words in a row, under which texts are hashed only if there are such items.
 
 Texts are scanned once. A bitmap of the items' hashes, of a size fixed by ``bits``, lets only texts with a hit leave
 their task; hits, items and texts then meet in joins, so neither side has to fit anywhere. Should a benchmark be so
@@ -28,6 +29,8 @@ from lumenfold.llm.wordhash import codes, mix, word_hashes
 
 # Together these masks hit every 13-word window with at most two substitutions (see the tests).
 MASKS = ((0, 1, 2, 6, 7), (0, 1, 3, 5, 6), (0, 3, 5, 6, 7))
+# Items of 7 to 11 words: as many substitutions as 80 % allows leave three words in a row.
+SHORT, SHORT_WORDS = (0, 1, 2), (7, 11)
 
 
 @dataclass(frozen=True)
@@ -63,8 +66,9 @@ def _item_seeds(items: DataFrame, s: Settings) -> DataFrame:
             hashes, ptr = word_hashes([plain(t) for t in batch.column("text").to_pylist()])
             found: list[tuple[list, list]] = [([], []) for _ in range(batch.num_rows)]
             owner = np.repeat(np.arange(batch.num_rows), np.diff(ptr))
-            for key, within in seeds(hashes, ptr, s.masks):
-                for at in np.flatnonzero(within):
+            short = np.isin(np.diff(ptr)[owner], range(SHORT_WORDS[0], SHORT_WORDS[1] + 1))
+            for number, (key, within) in enumerate(seeds(hashes, ptr, (*s.masks, SHORT))):
+                for at in np.flatnonzero(within & short[: len(within)] if number == len(s.masks) else within):
                     keys, places = found[owner[at]]
                     keys.append(key[at])
                     places.append(int(at - ptr[owner[at]]))
@@ -101,6 +105,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     passages = items.where(F.size("seed") > 0).groupBy("words").agg(F.min("item").alias("passage"), F.first("seed").alias("seed"), F.first("place").alias("place"))
     passages = space.save(passages, "passages")
     shared = df.sparkSession.sparkContext.broadcast(_bitmap(passages, s.bits))
+    masks = (*s.masks, SHORT) if passages.where(F.size("words").between(*SHORT_WORDS)).limit(1).count() else s.masks
     source = narrow(df, id=id_col, text=text_col)
     kind = source.schema["id"].dataType.simpleString()
 
@@ -109,7 +114,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
         for batch in bounded(batches, "text"):
             hashes, ptr = word_hashes([plain(t) for t in batch.column("text").to_pylist()])
             keys, places = [], []
-            for key, within in seeds(hashes, ptr, s.masks):
+            for key, within in seeds(hashes, ptr, masks):
                 first, second = _slots(key, s.bits)
                 at = np.flatnonzero((bitmap[first >> 6] >> (first & 63)) & 1 & within)
                 at = at[((bitmap[second[at] >> 6] >> (second[at] & 63)) & 1).astype(bool)]

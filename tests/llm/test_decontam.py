@@ -59,3 +59,16 @@ def test_find_leaks(spark):
     assert {w[:2] for w in want if w[1] in long_items} == {g[:2] for g in got if g[1] in long_items}
     assert len(got) > 30
     assert find_leaks(df.limit(0), bench).collect() == [] == find_leaks(df, bench.limit(0)).collect()
+
+
+def test_short_items_equal_brute_force(spark):
+    """Items of 7 to 12 words under every choice of as many substitutions as 80 % allows."""
+    items, docs = [], []
+    for n in range(7, 13):
+        words = [f"i{n}w{j}" for j in range(n)]
+        items.append((n, " ".join(words)))
+        for bad in itertools.combinations(range(n), n // 5):
+            docs.append((len(docs), " ".join(["x", *("zz" if j in bad else w for j, w in enumerate(words)), "y"])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start_word, r.n_words, r.matched) for r in find_leaks(df, bench).collect()}
+    assert got == brute(docs, items, Settings()) and len(got) == len(docs)
