@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -82,6 +85,31 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20
             yield batch.slice(start)
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give memory that isn't used any more back to the system; workers are kept for other tasks and operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with the task's memory given back at its end."""
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return running
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under internal names, so that further columns can't clash: narrow(df, id="doc_id")."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

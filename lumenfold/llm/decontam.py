@@ -4,12 +4,13 @@ A seed is a mask of word positions: the hash covers five words of a window and i
 words at ignored positions don't matter. Every position of every item and text is hashed under each mask; equal
 hashes place an item against a text at an offset. Around such a hit the words of both are compared one by one: the
 item leaks if, in some window of ``window`` aligned words (all of a shorter item), at least ``percent`` of them are
-equal. The masks hit every window of 13 words with any two words substituted; items of 7 to 11 words have a fourth mask
-of three words in a row, under which texts are hashed only if there are such items.
+equal. The masks hit every window of 12 or 13 words with any two words substituted; shorter items have masks of their own
+that hit them under any substitutions that 80 % allows, and texts are hashed under those only if there are such items.
 
 Texts are scanned once. A bitmap of the items' hashes, of a size fixed by ``bits``, lets only texts with a hit leave
-their task; hits, items and texts then meet in joins, so neither side has to fit anywhere. Should a benchmark be so
-large that the bitmap fills up, more texts are joined, with the same result.
+their task; hits, items and the blocks of text words around the hits then meet in joins, so neither side has to fit
+anywhere and no text is moved as a whole with each of its hits. Should a benchmark be so large that the bitmap fills up,
+more texts are joined, with the same result.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import Workspace, bounded, narrow
+from lumenfold.llm.common import Workspace, bounded, narrow, released
 from lumenfold.llm.normalise import plain
 from lumenfold.llm.wordhash import codes, mix, word_hashes
 
 # Together these masks hit every 13-word window with at most two substitutions (see the tests).
 MASKS = ((0, 1, 2, 6, 7), (0, 1, 3, 5, 6), (0, 3, 5, 6, 7))
-# Items of 7 to 11 words: as many substitutions as 80 % allows leave three words in a row.
-SHORT, SHORT_WORDS = (0, 1, 2), (7, 11)
+# Masks of shorter items, and the numbers of words for which each is needed: as many substitutions as 80 % allows leave
+# three words in a row in items of 6 to 11 words and none in items under 5.
+SHORT = (((0, 1, 2), range(3, 12)), ((0, 1, 3, 4), range(5, 6)), ((0, 1), range(2, 3)), ((0,), range(1, 2)))
 
 
 @dataclass(frozen=True)
@@ -38,13 +40,14 @@ class Settings:
     window: int = 13
     percent: int = 80
     bits: int = 25
+    block: int = 256
     masks: tuple[tuple[int, ...], ...] = MASKS
 
 
-def seeds(hashes: np.ndarray, ptr: np.ndarray, masks: tuple[tuple[int, ...], ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each mask: seed hashes at all positions of a batch, and which of them lie within one text."""
+def seeds(hashes: np.ndarray, ptr: np.ndarray, masks: list[tuple[int, tuple[int, ...]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each numbered mask: seed hashes at all positions of a batch, and which of them lie within one text."""
     owner = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-    for number, mask in enumerate(masks):
+    for number, mask in masks:
         span = mask[-1]
         n = max(0, len(hashes) - span)
         factor = codes(len(mask) + 1, 10 + number)
@@ -59,16 +62,19 @@ def _slots(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _item_seeds(items: DataFrame, s: Settings) -> DataFrame:
-    """item, words and its seeds with their positions; items shorter than every mask have none."""
+    """item, words and its seeds with their positions; items without words have none."""
+    numbered = list(enumerate([*s.masks, *(mask for mask, _ in SHORT)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 1 << 20):
             hashes, ptr = word_hashes([plain(t) for t in batch.column("text").to_pylist()])
             found: list[tuple[list, list]] = [([], []) for _ in range(batch.num_rows)]
             owner = np.repeat(np.arange(batch.num_rows), np.diff(ptr))
-            short = np.isin(np.diff(ptr)[owner], range(SHORT_WORDS[0], SHORT_WORDS[1] + 1))
-            for number, (key, within) in enumerate(seeds(hashes, ptr, (*s.masks, SHORT))):
-                for at in np.flatnonzero(within & short[: len(within)] if number == len(s.masks) else within):
+            length = np.diff(ptr)[owner]
+            for number, (key, within) in enumerate(seeds(hashes, ptr, numbered)):
+                if number >= len(s.masks):
+                    within = within & np.isin(length[: len(within)], SHORT[number - len(s.masks)][1])
+                for at in np.flatnonzero(within):
                     keys, places = found[owner[at]]
                     keys.append(key[at])
                     places.append(int(at - ptr[owner[at]]))
@@ -77,7 +83,7 @@ def _item_seeds(items: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["item", "words", "seed", "place"])
 
     kind = items.schema["item"].dataType.simpleString()
-    return items.mapInArrow(run, f"item {kind}, words array<bigint>, seed array<bigint>, place array<int>")
+    return items.mapInArrow(released(run), f"item {kind}, words array<bigint>, seed array<bigint>, place array<int>")
 
 
 def _bitmap(found: DataFrame, bits: int) -> np.ndarray:
@@ -95,8 +101,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
 
     Words are lower-cased, ASCII punctuation is white space. start_word is the first word of the text in the windows
     that pass, n_words how many words those span, matched how many of them are equal, similarity their share; of
-    several placements the one with the most matched words is given, then the first. Null and empty texts and items,
-    and items of fewer words than a mask covers (7), have no leak. A null id is reported as null; rows that share an id are
+    several placements the one with the most matched words is given, then the first. Null and empty texts and items
+    have no leak; an item of one word leaks into every text with that word. A null id is reported as null; rows that share an id are
     searched each and reported once, by the same rule; equal items are searched once and reported each. Further
     columns are not read; if either table is empty, so is the result.
     """
@@ -105,7 +111,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     passages = items.where(F.size("seed") > 0).groupBy("words").agg(F.min("item").alias("passage"), F.first("seed").alias("seed"), F.first("place").alias("place"))
     passages = space.save(passages, "passages")
     shared = df.sparkSession.sparkContext.broadcast(_bitmap(passages, s.bits))
-    masks = (*s.masks, SHORT) if passages.where(F.size("words").between(*SHORT_WORDS)).limit(1).count() else s.masks
+    sizes = {r["n"] for r in passages.select(F.size("words").alias("n")).where(F.col("n") < max(r.stop for _, r in SHORT)).distinct().collect()}
+    masks = [*enumerate(s.masks), *((len(s.masks) + n, mask) for n, (mask, needed) in enumerate(SHORT) if sizes & set(needed))]
     source = narrow(df, id=id_col, text=text_col)
     kind = source.schema["id"].dataType.simpleString()
 
@@ -135,25 +142,32 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "words", "seed", "place"])
 
-    scanned = space.save(source.mapInArrow(scan, f"row bigint, id {kind}, words array<bigint>, seed array<bigint>, place array<int>"), "scanned")
+    scanned = space.save(source.mapInArrow(released(scan), f"row bigint, id {kind}, words array<bigint>, seed array<bigint>, place array<int>"), "scanned")
     spread = lambda frame, *keep: frame.select(*keep, F.explode(F.arrays_zip("seed", "place")).alias("at")).select(*keep, F.col("at.seed").alias("seed"), F.col("at.place").alias("place"))
     hits = spread(scanned, "row").join(spread(passages, "passage").withColumnRenamed("place", "from"), "seed")
     placed = hits.select("row", "passage", (F.col("place") - F.col("from")).alias("offset")).distinct()
     side = passages.select("passage", F.col("words").alias("item_words"))
-    both = placed.join(side, "passage").join(scanned.select("row", "id", "words"), "row")
+    # each placement asks for the blocks of words that the item covers, and gets its stretch of the text put together
+    span = placed.join(passages.select("passage", F.size("words").alias("n")), "passage")
+    asked = span.select("row", "passage", "offset", "n", F.explode(F.expr(f"sequence(greatest(offset, 0) div {s.block}, greatest(offset + n - 1, 0) div {s.block})")).alias("block"))
+    blocks = scanned.select("row", F.posexplode(F.expr(f"transform(sequence(0, (size(words) - 1) div {s.block}), b -> slice(words, cast(b * {s.block} + 1 as int), {s.block}))")).alias("block", "part"))
+    parts = asked.withColumn("block", F.col("block").cast("int")).join(blocks, ["row", "block"]).groupBy("row", "passage", "offset", "n").agg(F.sort_array(F.collect_list(F.struct("block", "part"))).alias("parts"))
+    stretch = F.expr(f"slice(flatten(parts.part), cast(greatest(offset, 0) - parts[0].block * {s.block} + 1 as int), n + least(offset, 0))")
+    both = parts.select("row", "passage", "offset", stretch.alias("words")).join(side, "passage").join(scanned.select("row", "id"), "row")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for offset, item, text in zip(batch.column("offset").to_pylist(), batch.column("item_words"), batch.column("words"), strict=True):
-                rows.append(_overlap(np.asarray(item.values), np.asarray(text.values), offset, s))
-            keep = pa.array([r is not None for r in rows])
+                found = _overlap(np.asarray(item.values), np.asarray(text.values), min(offset, 0), s)
+                rows.append((found[0] + max(offset, 0), *found[1:]) if found else None)
+            keep = pa.array([r is not None for r in rows], pa.bool_())
             numbers = np.array([r for r in rows if r is not None], np.int64).reshape(-1, 3)
             kept = batch.filter(keep)
             yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("passage"), *[pa.array(numbers[:, i]) for i in range(3)]], names=["id", "passage", "start_word", "n_words", "matched"])
 
     item_kind = items.schema["item"].dataType.simpleString()
-    compared = both.select("id", "passage", "offset", "item_words", "words").mapInArrow(compare, f"id {kind}, passage {item_kind}, start_word bigint, n_words bigint, matched bigint")
+    compared = both.select("id", "passage", "offset", "item_words", "words").mapInArrow(released(compare), f"id {kind}, passage {item_kind}, start_word bigint, n_words bigint, matched bigint")
     best = compared.groupBy("id", "passage").agg(F.max(F.struct("matched", (-F.col("start_word")).alias("from"), "n_words")).alias("best"))
     named = items.select("item", "words").join(passages.select("words", "passage"), "words").select("item", "passage")
     out = best.join(named, "passage")
