@@ -2,7 +2,8 @@
 
 A word is a run of bytes other than space and \\x09-\\x0D, with A-Z lower-cased. Its hash is a polynomial over a
 table of random 64-bit byte codes, read off a prefix sum of the batch and then mixed; equal words have equal hashes in
-any task and run.
+any task and run. Polynomials modulo 2 ** 64 collide for some very long words whatever their radix (Thue-Morse words), so
+words of more than LONG bytes are hashed one by one.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 SEGMENT = 2 << 20
+LONG = 128
 RADIX = 0x9E3779B97F4A7C15
 INVERSE = pow(RADIX, -1, 1 << 64)
 
@@ -48,7 +51,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _hash_buffer(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and byte starts of a buffer's words."""
-    a = np.frombuffer(joined.lower(), np.uint8)
+    joined = joined.lower()
+    a = np.frombuffer(joined, np.uint8)
     if not len(a):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     edges = np.flatnonzero(np.diff(WORD[a], prepend=False, append=False))
@@ -57,7 +61,10 @@ def _hash_buffer(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     total = np.empty(len(a) + 1, np.uint64)
     total[0] = 0
     np.cumsum(BYTES[a] * up[: len(a)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts]), starts
+    hashes = mix((total[ends] - total[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts > LONG):
+        hashes[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : ends[i]], RADIX)
+    return hashes, starts
 
 
 def _segments(text: bytes) -> Iterator[bytes]:
