@@ -36,10 +36,41 @@ def test_scores_equal_the_explicit_automaton(spark, monkeypatch, size):
 
 
 def test_states_are_distributions():
-    model = lm.BackoffAutomaton([["a", "b", "a"], ["a", "b"], ["c"], []])
-    for state in [*model.fail, "\0root"]:
-        total = sum(model.arcs.get((state, w), model.fail.get(state, 1.0) * p) for w, p in model.root.items())
-        assert total + model.fail.get(state, 1.0) * model.smoothing.unknown == pytest.approx(1)
+    model = lm.BackoffAutomaton([["a", "b", "a", "b", "c"], ["a", "b", "a"], ["a", "b"], ["c"], []])
+    assert ("a", "b") in model.fail and (None, "a") in model.fail and ("b", "c") not in model.fail
+    for state in [*model.fail, ()]:
+        total = sum(10 ** model.step(state, w)[0] for w in [*model.words, "never seen"])
+        assert total == pytest.approx(1)
+
+
+def test_failure_arcs_lead_to_the_longest_state():
+    model = lm.BackoffAutomaton([["a", "b", "c"], ["a", "b", "d"], ["x", "b", "e"]])
+    assert model.step(("a", "b"), "c")[1] == ("c",) and model.step((None,), "a")[1] == (None, "a")
+    weight, after = model.step(("a", "b"), "e")  # unseen after a b, seen after b
+    assert weight == pytest.approx(math.log10(model.fail["a", "b"]) + math.log10(model.arcs["b", "e"])) and after == ("e",)
+    assert model.step(("a", "b"), "zz")[1] == ()
+
+
+def test_lanes_of_long_texts(spark, monkeypatch):
+    """Texts cut into lanes score as whole ones do."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("a b c d e f".split()) for _ in range(n))) for i, n in enumerate([0, 1, 6, 7, 8, 9, 15, 50, 300])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r.score for r in lm.score_texts(df, F.col("doc_id") == 8).collect()}
+    monkeypatch.setattr(lm, "LANE", 7)
+    cut = {r.doc_id: r.score for r in lm.score_texts(df, F.col("doc_id") == 8).collect()}
+    assert cut == pytest.approx(whole, rel=1e-12)
+    model = lm.BackoffAutomaton([split(t) for i, t in rows if i != 8])
+    assert whole == pytest.approx({i: model.score(split(t)) for i, t in rows}, rel=1e-9)
+
+
+def test_three_words_tell_more_than_two(spark):
+    """A held-out text is likelier if its triples were seen than if only its pairs were."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choice(["a b c x y z", "d b e y x w"]) for _ in range(30))) for i in range(40)]
+    rows += [(100, "a b c x y z"), (101, "a b e y x w")]
+    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
+    assert got[100] > got[101] + 0.5
 
 
 def test_nothing_to_learn_from(spark):
