@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: how UUIDs are written.
 UUID = "(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 
@@ -27,11 +28,16 @@ def id_before_underscore(c: Column) -> Column:
     return F.split_part(c, F.lit("_"), F.lit(1))
 
 
-def video_slug(title: Column, words: int = 5, width: int = 40) -> Column:
-    """First words of a title without symbols, those of one character dropped, joined by dashes."""
-    plain = F.trim(F.regexp_replace(title, "[^A-Za-z0-9 ]", ""))
-    kept = F.filter(F.slice(F.split(plain, r"\s+"), 1, words), lambda w: F.length(w) > 1)
-    return F.left(F.lower(F.array_join(kept, "-")), F.lit(width))
+def video_slug(video_id: Column, title: Column, words: int = 5, width: int = 40) -> Column:
+    """The id, an underscore, and the first words of a title joined by dashes: symbols part words, single characters go."""
+    plain = F.filter(F.split(F.regexp_replace(title, "[^A-Za-z0-9]", " "), " +"), lambda w: w != "")
+    kept = F.filter(F.slice(plain, 1, words), lambda w: F.length(w) > 1)
+    return F.concat(video_id.cast("string"), F.lit("_"), F.left(F.lower(F.array_join(kept, "-")), F.lit(width)))
+
+
+def round_half_even(c: Column, places: int) -> Column:
+    """Decimals cut to ``places``, halves to the even digit, as a double."""
+    return F.bround(c.cast("decimal(28,12)"), places).cast("double")
 
 
 def name_slug(name: Column) -> Column:

@@ -61,14 +61,14 @@ def public_fields(df: DataFrame) -> DataFrame:
 def resolve(records: DataFrame, catalog: DataFrame, keys: list[str], record_id: str, card_id: str, art: str) -> DataFrame:
     """Each record's match in a catalog: not_found, resolved, ambiguous_same_art (several cards, one art) or ambiguous.
 
-    Several matches without any art are ambiguous. The smallest card id stands for a group that is resolved.
+    Matches without art say nothing about it: several are of one art if those with art agree, ambiguous if none has any.
+    The smallest card id stands for a group that is resolved.
     """
     art_of = F.nullif(F.col(art), F.lit(""))
     # the catalog is counted by key before the join, so that no record meets its candidates one by one
-    grouped = catalog.groupBy(*keys).agg(F.count(card_id).alias("n"), F.countDistinct(art_of).alias("arts"), F.min(card_id).alias("first"), F.count(art_of).alias("with_art"))
+    grouped = catalog.groupBy(*keys).agg(F.count(card_id).alias("n"), F.countDistinct(art_of).alias("arts"), F.min(card_id).alias("first"))
     found = records.join(grouped, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    same = (F.col("arts") == 1) & (F.col("with_art") == F.col("n"))
-    status = F.when(F.col("n") == 0, "not_found").when(F.col("n") == 1, "resolved").when(same, "ambiguous_same_art").otherwise("ambiguous")
+    status = F.when(F.col("n") == 0, "not_found").when(F.col("n") == 1, "resolved").when(F.col("arts") == 1, "ambiguous_same_art").otherwise("ambiguous")
     return found.select(record_id, "n", status.alias("status"), F.when(status.isin("resolved", "ambiguous_same_art"), F.col("first")).alias(card_id))
 
 

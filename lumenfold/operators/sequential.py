@@ -1,9 +1,8 @@
-"""Operators that need order or parsing: greedy frame sampling, wiki tick matrices, per-row retries, zip entries."""
+"""Operators that need order or outside code: greedy frame sampling, per-row retries, zip entries."""
 
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -35,50 +34,31 @@ def sample_frames(df: DataFrame, key: str, at_ms: str, every_ms: int) -> DataFra
     return dealt.mapInArrow(run, "key bigint, at bigint").select(F.col("key").alias(key), F.col("at").alias(at_ms))
 
 
-def parse_tick_matrix(page: str) -> Iterator[tuple[str, str]]:
-    """(host set, name) for each tick of a wiki table: header cells name the sets, rows a card and its ticks."""
-    heads = re.findall(r"^!\s*([A-Z0-9]{2,6})\s*<br", page, re.M)
-    for row in re.split(r"^\|-.*$", page, flags=re.M)[1:]:
-        cells = [c.strip() for line in row.splitlines() if line.startswith("|") and not line.startswith("|}") for c in re.split(r"\|\|", line.lstrip("|"))]
-        if not cells:
+def _labelled(texts: list[str], classify: Callable[[list[str]], list[str]], refused: str) -> list[str]:
+    """Labels in the order of ``texts``. Spans that wait for a label lie on a stack; one that fails is parted in two."""
+    out, waiting = [refused] * len(texts), [range(len(texts))]
+    while waiting:
+        span = waiting.pop()
+        if not span:
             continue
-        name = re.search(r"\{\{card\|([^}|]+)", cells[0], re.I)
-        title = (name[1] if name else cells[0]).strip()
-        for head, cell in zip(heads, cells[1:], strict=False):
-            if title and re.search("✓|{{tick|{{yes|^x$", cell, re.I):
-                yield head, title
-
-
-def tick_matrix_udtf():
-    """A table function (page string) -> (host_set, name)."""
-
-    class TickMatrix:
-        def eval(self, page: str):
-            yield from parse_tick_matrix(page or "")
-
-    return F.udtf(TickMatrix, returnType="host_set string, name string")
+        try:
+            found = list(classify(texts[span.start : span.stop]))
+        except Exception:  # noqa: BLE001  the classifier is the caller's
+            found = []
+        if len(found) == len(span):
+            out[span.start : span.stop] = found
+        elif len(span) > 1:
+            cut = span.start + len(span) // 2
+            waiting += [range(span.start, cut), range(cut, span.stop)]
+    return out
 
 
 def classify_rows(df: DataFrame, text_col: str, classify: Callable[[list[str]], list[str]], refused: str = "refused") -> DataFrame:
-    """Exactly one label a row: a batch that fails is halved until single rows fail, which get ``refused``."""
-
-    def labels(texts: list[str]) -> list[str]:
-        if not texts:
-            return []
-        try:
-            found = classify(texts)
-            if len(found) != len(texts):
-                raise ValueError("one label a text is needed")
-            return found
-        except Exception:  # noqa: BLE001  the classifier is the caller's
-            if len(texts) == 1:
-                return [refused]
-            middle = len(texts) // 2
-            return labels(texts[:middle]) + labels(texts[middle:])
+    """Exactly one label a row, whatever the classifier does with a batch; rows that fail alone get ``refused``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(label=labels(frame[text_col].fillna("").tolist()))
+            yield frame.assign(label=_labelled(frame[text_col].fillna("").tolist(), classify, refused))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", label string"
     return df.mapInPandas(run, schema)

@@ -101,7 +101,7 @@ def price_counts(spark, sf_dir):
 RECORDS = "(SELECT o_orderkey AS record_id, lower(p_name) AS name, CASE WHEN o_orderkey % 11 = 0 THEN 'none' ELSE lower(replace(p_brand, 'Brand#', 'b')) END AS set_code FROM orders JOIN part ON p_partkey = o_custkey % 2000)"
 RESOLVED = f"""(SELECT r.record_id, count(c.card_id) AS n,
        CASE WHEN count(c.card_id) = 0 THEN 'not_found' WHEN count(c.card_id) = 1 THEN 'resolved'
-            WHEN count(DISTINCT c.art_id) = 1 AND count(c.art_id) = count(c.card_id) THEN 'ambiguous_same_art' ELSE 'ambiguous' END AS status,
+            WHEN count(DISTINCT NULLIF(c.art_id, '')) = 1 THEN 'ambiguous_same_art' ELSE 'ambiguous' END AS status,
        min(c.card_id) AS first_card
   FROM {RECORDS} r LEFT JOIN {CARDS} c ON lower(c.name) = r.name AND c.set_code = r.set_code GROUP BY 1)"""
 

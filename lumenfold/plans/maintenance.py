@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenfold.functions import wiki
 from lumenfold.operators import relational as R
 from lumenfold.operators import sequential
 from lumenfold.plans.base import CARDS, FRAMES, VIDEOS, cards, frames, registrar, videos
-from lumenfold.sources import table
+from lumenfold.sources import files, table
+from lumenfold.sources.scratch import scratch
 from lumenfold.streaming import scan
 
 REGISTRY: dict[str, tuple] = {}
@@ -142,25 +144,38 @@ def review_flag(spark, sf_dir):
     return R.update_by_key(rows, rows.where("seq % 5 = 0").select("seq", F.lit("ok").alias("review")), ["seq"], ["review"])
 
 
-@query(f"SELECT card_id, name FROM {CARDS} WHERE card_id % 3 <> 1")
+@query(f"SELECT card_id, upper(name) AS name FROM {CARDS} WHERE card_id % 3 <> 1")
 def resume_parts(spark, sf_dir):
-    """A build that resumes: parts that exist, and what they lack."""
-    rows = cards(spark, sf_dir).where("card_id % 3 <> 1").select("card_id", "name")
-    parts = rows.where("card_id % 3 = 0")
-    return parts.unionByName(rows.join(parts.select("card_id"), "card_id", "left_anti"))
+    """A build that was interrupted after one part goes on: what is done is read, the rest is built, all parts are merged."""
+    rows, root, schema = cards(spark, sf_dir).select("card_id", "name"), scratch(spark, "parts"), "card_id bigint, name string"
+    build = lambda items: items.select("card_id", F.upper("name").alias("name"))
+    files.write_part(build(rows.where("card_id % 3 = 0")), root, 0)
+    files.build_rest(rows.where("card_id % 3 <> 1"), root, schema, "card_id", build, part=1)
+    files.merge_parts(spark, root, schema, f"{root}-merged")
+    return files.read_table(spark, f"{root}-merged")
 
 
-@query("SELECT event_type, CAST(count_if(m > o) AS BIGINT) AS stale FROM (SELECT event_type, ts AS o, ts + INTERVAL (user_id % 3 - 1) HOUR AS m FROM events) GROUP BY 1")
+@query("SELECT event_type, count(*) AS stale FROM events WHERE event_type IN ('error', 'view', 'signup') GROUP BY 1")
 def stale_inputs(spark, sf_dir):
-    """Outputs older than their inputs."""
-    modified = F.col("ts") + F.make_dt_interval(hours=(F.col("user_id") % 3 - 1).cast("int"))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(modified > F.col("ts")).alias("stale"))
-
-
-@query(f"SELECT card_id, price FROM {CARDS} WHERE price IS NOT NULL")
+    """Events of the types whose output is older than its input, or missing, by the files' times of modification."""
+    rows, root = table(spark, sf_dir, "events"), scratch(spark, "fresh")
+    counts = rows.groupBy("event_type").agg(F.count("*").alias("n"))
+    written = lambda df, name: df.write.mode("append").partitionBy("event_type").parquet(f"{root}/{name}")
+    written(counts, "in")
+    written(counts.where("event_type <> 'signup'"), "out")
+    written(counts.where("event_type in ('error', 'view')"), "in")  # new input after the output
+    kind = F.regexp_extract("path", "event_type=([^/]*)/", 1).alias("event_type")
+    listed = lambda name: files.list_files(spark, f"{root}/{name}", "*.parquet").select(kind, "modified")
+    return rows.join(files.stale_outputs(listed("in"), listed("out"), "event_type"), "event_type", "left_semi").groupBy("event_type").agg(F.count("*").alias("stale"))
+
+
+@query(f"SELECT card_id, price FROM {CARDS} WHERE price > 1000")
 def latest_full_reload(spark, sf_dir):
-    """Drop and load again: the new table alone."""
-    return cards(spark, sf_dir).where("price is not null").select("card_id", "price")
+    """A table that was loaded before is replaced as a whole: of what it held, nothing stays."""
+    rows, where = cards(spark, sf_dir).select("card_id", "price"), scratch(spark, "prices")
+    files.replace_table(rows.select((F.col("card_id") + 1_000_000).alias("card_id"), F.lit(0.0).alias("price")), where)
+    files.replace_table(rows.where("price > 1000"), where)
+    return files.read_table(spark, where)
 
 
 @query("""
@@ -181,17 +196,69 @@ def scans(spark, sf_dir):
     return scan.scan_events(rows, "session", "ts", "event_id", F.col("event_type") != "error", card)
 
 
-@query(None)
+# one event of every session a round: the candidate, its hits, and when each id was confirmed
+@query("""
+WITH RECURSIVE e AS (
+  SELECT user_id % 5 AS session, row_number() OVER (PARTITION BY user_id % 5 ORDER BY epoch_us(ts) // 1000, event_id) AS n, epoch_us(ts) // 1000 AS at_ms, event_id AS seq,
+         CASE WHEN event_type <> 'error' AND value > 5 THEN event_type END AS hit FROM events),
+s AS (
+  SELECT DISTINCT session, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS candidate, 0 AS hits, CAST(MAP {} AS MAP(VARCHAR, BIGINT)) AS done, CAST(NULL AS VARCHAR) AS card_id, CAST(0 AS BIGINT) AS at_ms, CAST(0 AS BIGINT) AS seq FROM e
+  UNION ALL
+  SELECT session, n,
+         CASE WHEN miss THEN CASE WHEN hits > 1 THEN candidate END WHEN cooling THEN candidate WHEN fires THEN NULL ELSE hit END,
+         CASE WHEN miss THEN greatest(hits - 1, 0) WHEN cooling THEN hits WHEN fires THEN 0 WHEN same THEN hits + 1 ELSE 1 END,
+         CASE WHEN fires THEN map_concat(done, MAP {hit: at_ms}) ELSE done END,
+         CASE WHEN fires THEN hit END, at_ms, seq
+    FROM (SELECT *, NOT miss AND NOT cooling AND same AND hits + 1 >= 3 AS fires
+            FROM (SELECT s.session, e.n, s.candidate, s.hits, s.done, e.hit, e.at_ms, e.seq, e.hit IS NULL AS miss,
+                         coalesce(e.at_ms - s.done[e.hit] < 3600000, false) AS cooling, coalesce(e.hit = s.candidate, false) AS same
+                    FROM s JOIN e ON e.session = s.session AND e.n = s.n + 1)))
+SELECT session, card_id, at_ms, seq FROM s WHERE card_id IS NOT NULL
+""")
 def scan_bucket_batch(spark, sf_dir):
     return scan.confirm_batch(scans(spark, sf_dir), scan.Rules(3, 1, 3_600_000))
 
 
-@query(None)
+# Each customer makes up a page in the sources' layout; what a reader of the page gets is stated from the rules of its making.
+TICK_PAGE = """{| class="wikitable"
+! Set code
+! Card
+!AAA<br>[[File:a.png]]
+!BBB<br>[[File:b.png]]
+!C2C<br>c
+|-
+| %1$s
+| some set
+| {{card|%1$s||PLIST}}
+|%2$s
+|%3$s
+|{{cell|tick}}
+|-
+| x
+|some set
+| {{card|%1$s two|set=x|PLIST}}
+| || %2$s
+{{cell|tick}}
+|-
+| a || row || without a card
+|{{cell|tick}}
+|}"""
+
+
+@query("""
+WITH c AS (SELECT c_custkey, c_name, c_nationkey % 2 = 0 AS even, c_nationkey % 3 = 0 AS third FROM customer)
+SELECT c_custkey, 'aaa' AS host_set, c_name AS name FROM c WHERE even
+UNION ALL SELECT c_custkey, 'bbb', c_name FROM c WHERE third
+UNION ALL SELECT c_custkey, 'c2c', c_name FROM c
+UNION ALL SELECT c_custkey, 'bbb', c_name || ' two' FROM c WHERE even
+UNION ALL SELECT c_custkey, 'c2c', c_name || ' two' FROM c
+""")
 def wiki_tick_matrix(spark, sf_dir):
-    """Host sets and names of ticked cells; each customer segment makes up a page."""
-    row = F.format_string("|-\n| {{card|%s}} || %s || %s\n", "c_name", F.when(F.col("c_nationkey") % 2 == 0, "✓").otherwise(""), F.when(F.col("c_nationkey") % 3 == 0, "{{tick}}").otherwise(""))
-    pages = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("{|\n!Card\n!AAA<br>x\n!BBB<br>y\n"), row, F.lit("|}")).alias("page"))
-    return pages.lateralJoin(sequential.tick_matrix_udtf()(F.col("page").outer())).select("c_custkey", "host_set", "name")
+    """Host sets and names of ticked cells."""
+    mark = lambda c: F.when(c, "{{cell|tick}}").otherwise("")
+    page = F.format_string(TICK_PAGE, "c_name", mark(F.col("c_nationkey") % 2 == 0), mark(F.col("c_nationkey") % 3 == 0))
+    found = table(spark, sf_dir, "customer").select("c_custkey", F.explode(wiki.tick_matrix(page)).alias("tick"))
+    return found.select("c_custkey", "tick.host_set", "tick.name")
 
 
 @query("SELECT event_id AS image_key, arg_max(value, seq) AS value FROM (SELECT event_id % 500 AS event_id, event_id AS seq, value FROM events WHERE event_id % 13 <> 0) GROUP BY 1")

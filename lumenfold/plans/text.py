@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.functions import hashing, strings
+from lumenfold.functions import hashing, strings, wiki
 from lumenfold.plans.base import CARDS, cards, registrar
 from lumenfold.sources import table
 
@@ -16,10 +16,10 @@ def pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url")
 
 
-@query(r"SELECT doc_id, left(lower(array_to_string(list_filter((string_split_regex(trim(regexp_replace(title, '[^A-Za-z0-9 ]', '', 'g')), '\s+'))[1:5], lambda w: length(w) > 1), '-')), 40) AS slug FROM (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents)")
+@query(r"SELECT doc_id, CAST(doc_id AS VARCHAR) || '_' || left(lower(array_to_string(list_filter(list_filter(string_split(regexp_replace(title, '[^A-Za-z0-9 ]', ' ', 'g'), ' '), lambda w: w <> '')[1:5], lambda w: length(w) > 1), '-')), 40) AS slug FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Mystic-Box (a 2X)' || chr(9) ELSE '' END || split_part(text, chr(10), 1) AS title FROM documents)")
 def slug_video(spark, sf_dir):
-    title = F.split_part("text", F.lit("\n"), F.lit(1))
-    return table(spark, sf_dir, "documents").select("doc_id", strings.video_slug(title).alias("slug"))
+    title = F.concat(F.when(F.col("doc_id") % 2 == 0, "Mystic-Box (a 2X)\t").otherwise(""), F.split_part("text", F.lit("\n"), F.lit(1)))
+    return table(spark, sf_dir, "documents").select("doc_id", strings.video_slug(F.col("doc_id"), title).alias("slug"))
 
 
 @query(f"""SELECT card_id, trim(regexp_replace(regexp_replace(lower(name || ' // ' || layout), '[''",.!?:]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM {CARDS}""")
@@ -122,10 +122,17 @@ def run_id_format(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("run_id"))
 
 
-@query("SELECT event_id, CAST(floor(value * 10) AS BIGINT) AS tenths FROM events")
+# what halves do is written out for SQL: to the even digit, over decimals
+def _half_even(x, places):
+    d, unit = f"CAST({x} AS DECIMAL(28, 12))", f"1{'0' * places}"
+    return f"CAST(CASE WHEN abs({d} * {unit} - trunc({d} * {unit})) = 0.5 THEN 2 * round({d} * {unit} / 2) ELSE round({d} * {unit}) END AS DOUBLE) / {unit}"
+
+
+@query(f"SELECT event_id, {_half_even('value / 8', 1)} AS ms, {_half_even('value / 8', 3)} AS ms_fine, {_half_even('value / 512', 4)} AS confidence FROM events")
 def round_ms(spark, sf_dir):
-    """Whole tenths, cut rather than rounded: halves round differently in different engines."""
-    return table(spark, sf_dir, "events").select("event_id", F.floor(F.col("value") * 10).cast("bigint").alias("tenths"))
+    """Milliseconds to one or three places and confidences to four; halves go to the even digit."""
+    value = F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", strings.round_half_even(value / 8, 1).alias("ms"), strings.round_half_even(value / 8, 3).alias("ms_fine"), strings.round_half_even(value / 512, 4).alias("confidence"))
 
 
 @query("SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 6) AS sigmoid, round(exp(CAST(embedding[1] AS DOUBLE)) / list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE)))), 6) AS soft FROM embeddings")
@@ -175,8 +182,37 @@ def three_substring_test(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (t.contains("content") | t.contains("filter") | t.contains("the ")).alias("hit"))
 
 
-@query(r"SELECT doc_id, line AS title FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, 'License') ")
+# Each customer makes up a page in the sources' layouts; what a reader of the page gets is stated from the rules of its making.
+ENTRY_PAGE = """{| class="wikitable"
+! Host set !! Original set !! Number !! Card !! Note
+|-
+| MKM
+| %1$s
+| %2$d
+| {{card|%1$s||PLIST}}
+| %2$d
+|-
+! not a cell
+|-
+| Host set
+| {{card|Header}}
+|-
+| otj
+| no card here
+|}
+{|
+|-
+|MH3
+|M3C
+| {{card|%1$s two|set=%2$d}} and {{card|never}}
+|-
+| {{card|alone}}
+|}"""
+
+
+@query("SELECT c_custkey, unnest(['mkm', 'mh3']) AS host_set, unnest([c_name, c_name || ' two']) AS name FROM customer")
 def wiki_row_entries(spark, sf_dir):
-    """Entries of a row-per-entry page: lines that a pattern picks, without a UDF."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("title"))
-    return lines.where(F.col("title").rlike("License"))
+    """Host sets and cards of pages with a row for each entry."""
+    page = F.format_string(ENTRY_PAGE, "c_name", "c_nationkey")
+    found = table(spark, sf_dir, "customer").select("c_custkey", F.explode(wiki.row_entries(page)).alias("entry"))
+    return found.select("c_custkey", "entry.host_set", "entry.name")

@@ -1,0 +1,43 @@
+"""SQLite tables, read only, in ranges of row ids."""
+
+from __future__ import annotations
+
+import sqlite3
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+def _connect(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, partitions: int = 8) -> DataFrame:
+    """Rows of a table with row ids, the schema's columns only; each task reads one range over a read-only connection.
+
+    ``path`` is a file that driver and executors see under one name. A missing file or table raises.
+    """
+    columns = ", ".join(f'"{f.name}"' for f in StructType.fromDDL(schema))
+    name = '"' + table.replace('"', '""') + '"'
+    con = _connect(path)
+    try:
+        low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {name}").fetchone()
+    finally:
+        con.close()
+    if low is None:
+        return spark.createDataFrame([], schema)
+    step = max(1, -(-(high - low + 1) // partitions))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in frame["id"]:
+                own = _connect(path)
+                try:
+                    query = f"SELECT {columns} FROM {name} WHERE rowid >= ? AND rowid < ? ORDER BY rowid"
+                    yield from pd.read_sql_query(query, own, params=(int(start), int(start) + step), chunksize=10_000, dtype=object)
+                finally:
+                    own.close()
+
+    return spark.range(low, high + 1, step, max(1, -(-(high - low + 1) // step))).mapInPandas(run, schema)

@@ -22,9 +22,9 @@ def test_upsert_update_delete(spark):
 
 
 def test_resolution_statuses(spark):
-    catalog = spark.createDataFrame([("n", "s", 1, "a"), ("m", "s", 2, "a"), ("m", "s", 3, "a"), ("k", "s", 4, "a"), ("k", "s", 5, "b"), ("e", "s", 6, ""), ("e", "s", 7, None)], "name string, code string, card int, art string")
-    records = spark.createDataFrame([(1, "n", "s"), (2, "m", "s"), (3, "k", "s"), (4, "e", "s"), (5, "z", "s"), (6, None, "s")], "rec int, name string, code string")
-    assert got(R.resolve(records, catalog, ["name", "code"], "rec", "card", "art")) == [(1, 1, "resolved", 1), (2, 2, "ambiguous_same_art", 2), (3, 2, "ambiguous", None), (4, 2, "ambiguous", None), (5, 0, "not_found", None), (6, 0, "not_found", None)]
+    catalog = spark.createDataFrame([("n", "s", 1, "a"), ("m", "s", 2, "a"), ("m", "s", 3, "a"), ("k", "s", 4, "a"), ("k", "s", 5, "b"), ("e", "s", 6, ""), ("e", "s", 7, None), ("p", "s", 8, "a"), ("p", "s", 9, "")], "name string, code string, card int, art string")
+    records = spark.createDataFrame([(1, "n", "s"), (2, "m", "s"), (3, "k", "s"), (4, "e", "s"), (5, "z", "s"), (6, None, "s"), (7, "p", "s")], "rec int, name string, code string")
+    assert got(R.resolve(records, catalog, ["name", "code"], "rec", "card", "art")) == [(1, 1, "resolved", 1), (2, 2, "ambiguous_same_art", 2), (3, 2, "ambiguous", None), (4, 2, "ambiguous", None), (5, 0, "not_found", None), (6, 0, "not_found", None), (7, 2, "ambiguous_same_art", 8)]
 
 
 def test_short_and_long_id_lists(spark):
@@ -51,8 +51,8 @@ def test_hex_and_bits(spark):
 
 
 def test_slugs_and_ids(spark):
-    row = spark.range(1).select(strings.extract_uuid(F.lit("x_ABCDEF01-0000-4000-8000-00000000000A.jpg")).alias("u"), strings.extract_uuid(F.lit("none")).alias("n"), strings.video_slug(F.lit("Opening a *NEW* box, again & again today")).alias("s"), strings.parse_price(F.lit("n/a")).alias("p")).first()
-    assert tuple(row) == ("abcdef01-0000-4000-8000-00000000000a", None, "opening-new-box-again", None)
+    row = spark.range(1).select(strings.extract_uuid(F.lit("x_ABCDEF01-0000-4000-8000-00000000000A.jpg")).alias("u"), strings.extract_uuid(F.lit("none")).alias("n"), strings.video_slug(F.lit("v1"), F.lit("Opening a *NEW* box, again & again today")).alias("s"), strings.parse_price(F.lit("n/a")).alias("p")).first()
+    assert tuple(row) == ("abcdef01-0000-4000-8000-00000000000a", None, "v1_opening-new-box-again", None)
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot", "hamming"])

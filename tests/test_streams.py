@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfold.functions import wiki
 from lumenfold.operators import sequential
-from lumenfold.streaming import scan
+from lumenfold.streaming import pacing, scan
 
 REPLAYS = [
     ("AAA", 3, ["A"]),
@@ -82,6 +83,53 @@ def test_sampling_and_retries(spark):
     assert labels == {0: "A", 1: "refused", 2: "C", 3: "", 4: "refused", 5: "D"}
 
 
-def test_tick_matrix():
-    page = "{|\n!Card\n!AAA<br>x\n!BBB<br>y\n|-\n| {{card|One}} || ✓ ||\n|-\n| Two || || {{tick}}\n|}"
-    assert list(sequential.parse_tick_matrix(page)) == [("AAA", "One"), ("BBB", "Two")]
+def test_every_row_gets_one_label_in_place():
+    calls = []
+
+    def classify(texts):
+        calls.append(len(texts))
+        return texts if "x" not in texts else texts[1:]
+
+    texts = [*"abcxdefgx"]
+    assert sequential._labelled(texts, classify, "no") == [*"abc", "no", *"defg", "no"]
+    assert sequential._labelled([], classify, "no") == [] and calls[0] == 9 and calls.count(9) == 1
+
+
+def test_wiki_pages(spark):
+    page = "!AAA<br>x\r\n! no\n!B2<br>\n|-\n|1\n|{{card|One|x}}\n|{{cell|tick}}||\n|-\n|{{card|Two}}\n|\nhas {{cell|tick}}\n|-\n| {{cell|tick}}\n|-\n|{{card|Three}}\n| || || {{cell|tick}}\n|}"
+    entries = "|-\n| MKM \n| x\n|{{card| One |a}}\n|-\n| two words\n|{{card|No}}\n|-\n|m\n|-\n|otj\n|{{card|A}}{{card|B}}"
+    rows = [(page, entries), (None, None), ("", "")]
+    got = spark.createDataFrame(rows, "page string, entries string").select(wiki.tick_matrix(F.col("page")).alias("t"), wiki.row_entries(F.col("entries")).alias("e")).collect()
+    assert [tuple(x) for x in got[0].t] == [("aaa", "One"), ("b2", "Two")]
+    assert [tuple(x) for x in got[0].e] == [("mkm", "One"), ("otj", "A")]
+    assert not got[1].t and not got[1].e and not got[2].t and not got[2].e
+
+
+def test_rules_change_without_losing_state(spark, tmp_path):
+    """A side input of rules that changes between micro-batches: two hits under the old rules count under the new ones."""
+    schema = "session long, at_ms long, seq long, present boolean, card_id string, fill_at int, drain int, cooldown_ms int"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n, fill_at in enumerate((5, 5, 3)):
+        spark.createDataFrame([(1, 10 * n, n, True, "a", fill_at, 1, 100)], schema).coalesce(1).write.mode("append").parquet(source)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        q = scan.confirm_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [(1, "a", 20, 2)]
+
+
+def test_pacing(spark):
+    sent = []
+    pacer = pacing.Pacer(sent.append, rate=10)
+    assert [pacer.offer(t, t) for t in (0, 50, 99, 100, 250, 260)] == [True, False, False, True, True, False]
+    assert sent == [0, 100, 250] and pacer.dropped == 3
+    inner = pacing.Pacer(lambda f: sent.append(inner.offer(10_000, "again")), rate=10)
+    assert inner.offer(0, "x") and sent[-1] is False and inner.offer(20_000, "y")
+    rows = [(1, t, took) for t, took in ((0, 10), (50, 0), (100, 500), (300, 0), (600, None), (650, 1), (700, 1))] + [(2, 5, 0), (2, None, 0)]
+    got = pacing.paced(spark.createDataFrame(rows, "k long, t long, took long"), "k", "t", "took", 100).collect()
+    assert sorted((r.k, r.t) for r in got) == [(1, 0), (1, 100), (1, 600), (1, 700), (2, 5)]
