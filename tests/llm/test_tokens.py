@@ -91,3 +91,15 @@ def test_dot_product_bins_fill():
     bins = packing.dot_product_bins(demand, np.array([4096.0, 64, 4096]))
     assert sorted(i for b in bins for i in b) == list(range(3000))
     assert demand[:, 0].sum() / (4096 * len(bins)) > 0.97
+
+
+def test_long_runs_without_boundaries_are_encoded_once(monkeypatch):
+    """Text that can't be spliced costs about what the library takes, and counts the same."""
+    own = PieceCounter(MODEL)
+    read = []
+    starts = own._starts
+    monkeypatch.setattr(own, "_starts", lambda text: read.append(len(text)) or starts(text))
+    for text in ("a" * 400_000, " " * 300_000, "x y " * 3000 + "b" * 200_000 + " z w" * 3000, "ab" * 100_000):
+        read.clear()
+        assert own.count_huge(text) == len(own.sp.encode(text))
+        assert sum(read) < 6 * len(text)
