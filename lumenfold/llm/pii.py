@@ -62,18 +62,65 @@ def _gate(text: Column, kind: str, loose: bool) -> Column:
     return text.rlike("[0-9]{3}[ .-][0-9]{4}") if loose else text.rlike(r"\+[0-9]")
 
 
+# Arrays and texts of any length. What Spark binds in a lambda is evaluated once; anything else, for each element.
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan(items: Column, zero: Column, add, merge, out, depth: int = 2) -> Column:
+    """``out`` of each element and of what ``add`` gathers of all elements before it; null if there are none.
+
+    Blocks of about the square root of n elements are summed first, and blocks of each of these in turn, so that the
+    work grows as n to the power 1.25.
+    """
+
+    def scan(xs: Column, first: Column, depth: int) -> Column:
+        if not depth:
+            return F.transform(xs, lambda x, i: out(x, F.aggregate(F.slice(xs, 1, i), first, add)))
+        return _let(_blocks(xs), lambda blocks: over(blocks, first, depth))
+
+    def over(blocks: Column, first: Column, depth: int) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, zero, add))
+        return _let(totals, lambda sums: F.flatten(F.transform(blocks, lambda block, k: _let(F.aggregate(F.slice(sums, 1, k), first, merge), lambda before: scan(block, before, depth - 1)))))
+
+    return _let(items, lambda xs: F.when(F.size(xs) > 0, scan(xs, zero, depth)))
+
+
+def _blocks(xs: Column) -> Column:
+    """An array that isn't empty in blocks of about the square root of its size."""
+    width = F.ceil(F.sqrt(F.size(xs).cast("double"))).cast("int")
+    return _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / w).cast("int")), lambda k: F.slice(xs, k * w + 1, w)))
+
+
+def _segments(text: Column) -> Column:
+    """size, parts: a text in parts of ``size`` code points, so that cutting from its middle doesn't begin at its start."""
+    length = F.length(text)
+    size = F.greatest(F.lit(2048), (4 * F.sqrt(length.cast("double"))).cast("int"))
+    parts = _let(size, lambda n: F.struct(n.alias("size"), F.transform(F.sequence(F.lit(0), F.floor(length / n).cast("int")), lambda k: F.substr(text, k * n + 1, n)).alias("parts")))
+    return F.when(length > 2048, parts).otherwise(F.struct(F.lit(2048).alias("size"), F.array(text).alias("parts")))
+
+
+def _cut(segments: Column, start: Column, n: Column) -> Column:
+    """n code points of a text in segments, from ``start`` on; fewer at its end, none beyond it."""
+    size = segments["size"]
+    first, last = F.floor(start / size).cast("int"), F.floor((start + F.greatest(n, F.lit(1)) - 1) / size).cast("int")
+    joined = F.array_join(F.slice(segments["parts"], first + 1, last - first + 1), "")
+    return F.substr(joined, start - first * size + 1, F.greatest(n, F.lit(0)))
+
+
 def _matches(text: Column, pattern: str, gate: Column) -> Column:
     """Leftmost non-overlapping matches with code points: gaps from split, values from extract, in step."""
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(x["value"].isNotNull(), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+    def place(x: Column, at: Column) -> Column:
+        start = at + x["gap"]
+        return F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.expr(EMPTY).alias("found")), step, lambda acc: acc["found"])
-    return F.when(gate, found).otherwise(F.expr(EMPTY))
+    found = _scan(pairs, F.lit(0), lambda at, x: at + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0)), lambda a, b: a + b, place)
+    return F.when(gate, F.filter(found, lambda x: x["value"].isNotNull())).otherwise(F.expr(EMPTY))
 
 
 def _digits(value: Column) -> Column:
@@ -93,11 +140,11 @@ def _valid(kind: str, value: Column) -> Column:
     return n.between(8, 15)
 
 
-def _votes(kind: str, loose: bool, text: Column, x: Column) -> Column:
+def _votes(kind: str, loose: bool, segments: Column, x: Column) -> Column:
     """The labelers' votes on a candidate, as digits 0 (against), 1 (none), 2 (for) in the order of LABELERS."""
     value, digits = x["value"], _digits(x["value"])
-    around = F.lower(F.substring(text, F.greatest(x["start"] - 29, F.lit(1)), F.least(x["start"], F.lit(30))))
-    before, after = F.substring(text, x["start"], F.when(x["start"] > 0, 1).otherwise(0)), F.substring(text, x["end"] + 1, F.lit(1))
+    around = F.lower(_cut(segments, F.greatest(x["start"] - 30, F.lit(0)), F.least(x["start"], F.lit(30))))
+    before, after = _cut(segments, F.greatest(x["start"] - 1, F.lit(0)), F.least(x["start"], F.lit(1))), _cut(segments, x["end"], F.lit(1))
     either = lambda c: F.when(c, "2").otherwise("0")
     if kind == "email":
         top = F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1))
@@ -123,12 +170,20 @@ def _valid_of(kind: str):
     return lambda x: _valid(kind, x["value"])
 
 
-def _apart_from(spans: Column):
-    return lambda x: ~F.exists(spans, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
+def _apart(spans: Column, others: Column) -> Column:
+    """Spans that overlap none of the others, which are in order and don't overlap each other: blocks of them first."""
+    meets = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
+    bound = lambda b: F.struct(b[0]["start"].alias("start"), F.element_at(b, -1)["end"].alias("end"), b.alias("spans"))
+    kept = lambda blocks: F.filter(spans, lambda x: ~F.exists(blocks, lambda b: meets(x, b) & F.exists(b["spans"], lambda y: meets(x, y))))
+    return F.when((F.size(others) > 0) & (F.size(spans) > 0), _let(F.transform(_blocks(others), bound), kept)).otherwise(spans)
+
 
+def _apart_from(others: Column):
+    return lambda spans: _apart(spans, others)
 
-def _voted(kind: str, loose: bool, text: Column):
-    return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _votes(kind, loose, text, x).alias("votes"))
+
+def _voted(kind: str, loose: bool, segments: Column):
+    return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _votes(kind, loose, segments, x).alias("votes"))
 
 
 def _tagged(kind: str):
@@ -150,16 +205,17 @@ def _marked(kind: str):
 def candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and, for each kind, its valid base matches and the looser ones beside them, with votes."""
     source = narrow(df, id=id_col, text=text_col).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    text = F.col("text")
+    text, segments = F.col("text"), F.col("segments")
+    source = source.withColumn("segments", _segments(text))
     for kind in KINDS:
         source = source.withColumn(f"base_{kind}", F.filter(_matches(text, BASE[kind], _gate(text, kind, False)), _valid_of(kind)))
     columns = {}
     for kind in KINDS:
         base = F.col(f"base_{kind}")
-        loose = F.filter(_matches(text, LOOSE[kind], _gate(text, kind, True)), _apart_from(base))
+        loose = _let(_matches(text, LOOSE[kind], _gate(text, kind, True)), _apart_from(base))
         for name, spans, is_loose in ((f"base_{kind}", base, False), (f"loose_{kind}", loose, True)):
-            columns[name] = F.transform(spans, _voted(kind, is_loose, text))
-    return source.select("id", "text", *[c.alias(n) for n, c in columns.items()])
+            columns[name] = F.transform(spans, _voted(kind, is_loose, segments))
+    return source.select("id", "text", "segments", *[c.alias(n) for n, c in columns.items()])
 
 
 @dataclass(frozen=True)
@@ -268,13 +324,18 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redacted(text: Column, spans: dict[str, Column]) -> Column:
     """The text with each run of overlapping spans replaced by the kind of its first span, as in [EMAIL]."""
     tagged = F.array_sort(F.concat(*[F.transform(c, _marked(k)) for k, c in spans.items()]))
+    furthest = lambda end, x: F.greatest(end, x["end"])
+
+    def place(x: Column, done: Column) -> Column:
+        """A run begins where all spans before have ended; what lies between is kept."""
+        return F.struct(x.alias("span"), done.alias("done"))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), x["mark"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
+    def joined(xs: Column, segments: Column) -> Column:
+        begun = F.filter(_scan(xs, F.lit(0), furthest, lambda a, b: F.greatest(a, b), place), lambda p: p["span"]["start"] >= p["done"])
+        parts = F.transform(begun, lambda p: F.concat(_cut(segments, p["done"], p["span"]["start"] - p["done"]), p["span"]["mark"]))
+        return _let(F.aggregate(xs, F.lit(0), furthest), lambda end: F.concat(F.array_join(parts, ""), _cut(segments, end, F.length(text) - end)))
 
-    whole = F.aggregate(tagged, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(tagged) > 0, whole).otherwise(text)
+    return _let(tagged, lambda xs: F.when(F.size(xs) > 0, _let(_segments(text), lambda segments: joined(xs, segments))).otherwise(text))
 
 
 def redact(df: DataFrame, *, text_col: str = "text", classifier: SpanClassifier | None = None) -> DataFrame:
