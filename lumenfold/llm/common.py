@@ -98,10 +98,17 @@ def release() -> None:
         trim(0)
 
 
+# What this worker has kept for later tasks of an operator, to be dropped when another operator's begins.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, with the task's memory given back at its end."""
+    """``run`` for mapInArrow, with the task's memory given back at its end, and what other operators kept at its start."""
+    name = run.__module__
 
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [k for k in KEPT if k != name]:
+            KEPT.pop(other)()
         try:
             yield from run(batches)
         finally:

@@ -11,19 +11,19 @@ vector, so that prediction is one gather and sum over the whole text.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import narrow
+from lumenfold.llm.common import narrow, release, released
 
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 ORDERS = (2, 3, 4)
 SEGMENT = 1 << 20
 # every byte that is an ASCII letter or belongs to a longer UTF-8 sequence stays; others part words
@@ -182,12 +182,12 @@ def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids, counts = features(text, bits)
+            for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+                ids, counts = features(text.as_py(), bits)
                 if len(ids):
-                    yield pa.RecordBatch.from_pydict({"lang": [lang], "ids": [ids.astype(np.int32)], "counts": [counts.astype(np.int32)]}, schema=pa.schema([("lang", pa.string()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
+                    yield pa.RecordBatch.from_pydict({"lang": [lang.as_py()], "ids": [ids.astype(np.int32)], "counts": [counts.astype(np.int32)]}, schema=pa.schema([("lang", pa.string()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
 
-    sample = source.where(drawn < F.element_at(known, F.col("lang"))).select("lang", "text").mapInArrow(run, "lang string, ids array<int>, counts array<int>")
+    sample = source.where(drawn < F.element_at(known, F.col("lang"))).select("lang", "text").mapInArrow(released(run), "lang string, ids array<int>, counts array<int>")
     rows = sample.limit(2 * settings.sample * len(share)).toArrow()
     found = [(r, np.array(i.values), np.array(c.values)) for r, i, c in zip(rows["lang"].to_pylist(), rows["ids"], rows["counts"], strict=True)]
     del rows
@@ -196,7 +196,7 @@ def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return fit(found, settings)
 
 
-def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[bool]]:
+def predict(model: LanguageModel, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray, list[bool]]:
     """Languages, calibrated probabilities (0 if undetermined), and whether the model rejects the text."""
     names, scores, rejected = [], np.zeros(len(texts)), []
     for i, text in enumerate(texts):
@@ -226,7 +226,13 @@ def language(model: LanguageModel, text: Column) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double,rejected:boolean>")
     def run(column: pa.Array) -> pa.Array:
-        names, scores, rejected = predict(shared.value, column.to_pylist())
+        names, scores, rejected = [], np.zeros(len(column)), []
+        for at in range(0, len(column), 256):  # only so many texts are Python strings at a time
+            part = predict(shared.value, column.slice(at, 256).to_pylist())
+            names += part[0]
+            scores[at : at + 256] = part[1]
+            rejected += part[2]
+        release()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(rejected, pa.bool_())], fields=fields)
 
     return run(text.cast("string"))
