@@ -161,39 +161,49 @@ def outer_product(a: Column, b: Column) -> Column:
     return F.transform(a, lambda x: F.transform(b, lambda y: x * y / most))
 
 
-def _clip(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
-    """The part of a polygon inside a convex, counter-clockwise one."""
-    out = subject
-    for i in range(len(clip)):
-        a, edge = clip[i], clip[(i + 1) % len(clip)] - clip[i]
-        side = lambda p, a=a, edge=edge: edge[0] * (p[1] - a[1]) - edge[1] * (p[0] - a[0])
-        kept = []
-        for j in range(len(out)):
-            p, q = out[j - 1], out[j]
-            sp, sq = side(p), side(q)
-            if (sp < 0) != (sq < 0):
-                kept.append(p + (q - p) * (sp / (sp - sq)))
-            if sq >= 0:
-                kept.append(q)
-        out = np.array(kept).reshape(-1, 2)
-    return out
-
-
-def _area(p: np.ndarray) -> float:
-    x, y = (p[:, 0], p[:, 1]) if len(p) > 2 else (np.zeros(1), np.zeros(1))
-    return float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum() / 2)
-
-
-def _polygon_iou(a: list, b: list) -> float:
-    p, q = (np.array([(v["x"], v["y"]) for v in s], float) for s in (a, b))
-    p, q = (s if _area(s) >= 0 else s[::-1] for s in (p, q))
-    inter = abs(_area(_clip(p, q)))
-    union = abs(_area(p)) + abs(_area(q)) - inter
-    return inter / union if union > 0 else 0.0
+def _clipped(points: np.ndarray, count: np.ndarray, corner: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Polygons (n x slots x 2, the first ``count`` of them used) cut to the left of a line each: a corner and an edge."""
+    n, slots, _ = points.shape
+    j = np.arange(slots)
+    used = j < count[:, None]
+    before = np.take_along_axis(points, np.where(j > 0, j - 1, np.maximum(count[:, None] - 1, 0))[..., None], axis=1)
+    side = lambda p: edge[:, None, 0] * (p[..., 1] - corner[:, None, 1]) - edge[:, None, 1] * (p[..., 0] - corner[:, None, 0])
+    sp, sq = side(before), side(points)
+    crossing = used & ((sp < 0) != (sq < 0))
+    share = np.divide(sp, sp - sq, out=np.zeros_like(sp), where=crossing)
+    both = np.stack([before + (points - before) * share[..., None], points], axis=2).reshape(n, 2 * slots, 2)
+    kept = np.stack([crossing, used & (sq >= 0)], axis=2).reshape(n, 2 * slots)
+    order = np.argsort(~kept, axis=1, kind="stable")[:, : max(1, int(kept.sum(axis=1).max(initial=0)))]
+    return np.take_along_axis(both, order[..., None], axis=1), kept.sum(axis=1)
+
+
+def _areas(points: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Signed areas; unused slots stand at the first point, where they add nothing."""
+    p = np.where((np.arange(points.shape[1]) < count[:, None])[..., None], points, points[:, :1])
+    q = np.roll(p, -1, axis=1)
+    return (p[..., 0] * q[..., 1] - p[..., 1] * q[..., 0]).sum(axis=1) / 2
+
+
+def _polygon_ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of quadrilaterals (n x 4 x 2), all rows at once."""
+    four = np.full(len(a), 4)
+    a, b = (np.where((_areas(p, four) >= 0)[:, None, None], p, p[:, ::-1]) for p in (a, b))
+    inner, count = a, four
+    for i in range(4):
+        inner, count = _clipped(inner, count, b[:, i], b[:, (i + 1) % 4] - b[:, i])
+    shared = np.where(count > 2, np.abs(_areas(inner, count)), 0.0)
+    union = np.abs(_areas(a, four)) + np.abs(_areas(b, four)) - shared
+    return np.divide(shared, union, out=np.zeros(len(a)), where=union > 0)
 
 
 @F.pandas_udf(DoubleType())
 def polygon_iou(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Exact intersection over union of convex quadrilaterals; null for null."""
     for a, b in batches:
-        yield pd.Series([_polygon_iou(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+        out = pd.Series(np.nan, index=a.index, dtype="float64").astype("Float64")
+        whole = (a.notna() & b.notna()).to_numpy()
+        if whole.any():
+            p, q = (np.array([(v["x"], v["y"]) for s in side[whole] for v in s], float).reshape(-1, 4, 2) for side in (a, b))
+            out[whole] = _polygon_ious(p, q)
+        out[~whole] = pd.NA
+        yield out

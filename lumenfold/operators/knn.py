@@ -33,6 +33,17 @@ def similarity(queries: np.ndarray, gallery: np.ndarray, metric: str) -> np.ndar
     return unit(queries) @ unit(gallery).T
 
 
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k largest scores, best first, ties from the left; none of minus infinity."""
+    n = scores.shape[1]
+    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+    row, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+    order = np.lexsort((at, -scores[row, at], row))
+    row, at = row[order], at[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], at[keep]
+
+
 def nearest(queries: DataFrame, gallery: DataFrame, *, k: int = 10, metric: str = "cosine", exclude: str = "self", block: int = BLOCK, sizes: tuple[int, int] | None = None) -> DataFrame:
     """query_id, rank (from 1), id, class, query_class, score: the best k of the gallery for each query.
 
@@ -54,20 +65,18 @@ def nearest(queries: DataFrame, gallery: DataFrame, *, k: int = 10, metric: str
         if len(q) and len(g):
             g = g.sort_values("g_id", ignore_index=True)
             q_class, g_class = (c.astype("object").where(c.notna(), None).to_numpy() for c in (q["q_class"], g["g_class"]))
-            matrix, ids = _matrix(g["g_vector"]), g["g_id"].to_numpy()
+            codes, _ = pd.factorize(np.concatenate([q_class, g_class]), use_na_sentinel=False)  # null is a class
+            q_code, g_code = codes[: len(q)], codes[len(q) :]
+            matrix, ids, asked = _matrix(g["g_vector"]), g["g_id"].to_numpy(), q["q_id"].to_numpy()
             for start in range(0, len(q), 256):
-                part = q.iloc[start : start + 256]
-                scores = np.round(similarity(_matrix(part["q_vector"]), matrix, metric), 12)
-                for row, (query, cls, own) in enumerate(zip(part["q_id"], q_class[start : start + 256], scores, strict=True)):
-                    if exclude == "self":
-                        own[ids == query] = -np.inf
-                    elif exclude == "class":
-                        own[g_class == cls] = -np.inf
-                    elif exclude == "others":
-                        own[(g_class != cls) | (ids == query)] = -np.inf
-                    best = np.argsort(-own, kind="stable")[:k]
-                    best = best[own[best] > -np.inf]
-                    parts.append(pd.DataFrame({"query_id": query, "query_class": cls, "id": ids[best], "class": g_class[best], "score": own[best]}))
+                rows = slice(start, start + 256)
+                scores = np.round(similarity(_matrix(q["q_vector"].iloc[rows]), matrix, metric), 12)
+                same, own = g_code[None] == q_code[rows, None], ids[None] == asked[rows, None]
+                out = {"self": own, "class": same, "others": ~same | own}.get(exclude)
+                if out is not None:
+                    scores[out] = -np.inf
+                row, at = _best(scores, k)
+                parts.append(pd.DataFrame({"query_id": asked[rows][row], "query_class": q_class[rows][row], "id": ids[at], "class": g_class[at], "score": scores[row, at]}))
         return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "query_class": [], "id": [], "class": [], "score": []})
 
     kinds = {c: left.schema[f"q_{c}"].dataType.simpleString() for c in ("id", "class")}

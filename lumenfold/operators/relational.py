@@ -89,6 +89,22 @@ def cache_diff(manifest: DataFrame, cache: DataFrame, key: str, stamp: str) -> D
     )
 
 
+def running_before(df: DataFrame, key: str, order: str, amount: str, width: int = 1 << 16) -> DataFrame:
+    """n and before: how many rows of the key come before a row, and their sum, in the order of a whole number.
+
+    Ranges of ``width`` numbers are summed up first, so that a window holds one range of a key, or one row for each of a
+    key's ranges, however many rows the key has. Rows with equal numbers must not repeat within a key.
+    """
+    part = F.floor(F.col(order) / width)
+    ranges = df.groupBy(key, part.alias("__part")).agg(F.count("*").alias("__rows"), F.sum(amount).alias("__sum"))
+    earlier = W.partitionBy(key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.select(key, "__part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("__rows", "__sum")])
+    inside = W.partitionBy(key, "__part").orderBy(order)
+    ranked = df.withColumn("__part", part).select("*", (F.row_number().over(inside) - 1).alias("__nth"), F.coalesce(F.sum(amount).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__own"))
+    found = ranked.join(starts, [key, "__part"])
+    return found.select(*df.columns, (F.col("__rows") + F.col("__nth")).cast("bigint").alias("n"), (F.col("__sum") + F.col("__own")).cast("bigint").alias("before"))
+
+
 def topk_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First k rows a group; Spark prunes each partition to k rows before the shuffle."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint")).where(F.col(rank) <= k)

@@ -100,16 +100,12 @@ def cache_merge(spark, sf_dir):
     return manifest.join(cache, ["card_id", "stamp"], "left").select("card_id", F.coalesce("vector", F.lit(-1.0)).alias("vector"))
 
 
-@query("SELECT channel, n, video_id, CAST(CASE WHEN n = 0 THEN 0 ELSE sum(secs) OVER (PARTITION BY channel ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END + n * 2 AS BIGINT) AS starts FROM (SELECT o_orderpriority AS channel, o_orderkey AS video_id, o_orderkey % 50 + 10 AS secs, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS n FROM orders WHERE o_orderkey % 20 = 0)")
+@query("SELECT channel, n, video_id, CAST(CASE WHEN n = 0 THEN 0 ELSE sum(secs) OVER (PARTITION BY channel ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END + n * 2 AS BIGINT) AS starts FROM (SELECT o_orderpriority AS channel, o_orderkey AS video_id, o_orderkey % 50 + 10 AS secs, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS n FROM orders)")
 def chapters_running_offset(spark, sf_dir):
     """Where each chapter begins: the lengths before it and the gaps between."""
-    from pyspark.sql import Window as W
-
-    rows = videos(spark, sf_dir).where("video_id % 20 = 0").select("channel", "video_id", (F.col("video_id") % 50 + 10).alias("secs"))
-    w = W.partitionBy("channel").orderBy("video_id")
-    n = (F.row_number().over(w) - 1).cast("bigint")
-    before = F.coalesce(F.sum("secs").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("channel", n.alias("n"), "video_id", (before + n * 2).alias("starts"))
+    rows = videos(spark, sf_dir).select("channel", "video_id", (F.col("video_id") % 50 + 10).alias("secs"))
+    found = R.running_before(rows, "channel", "video_id", "secs")
+    return found.select("channel", "n", "video_id", (F.col("before") + F.col("n") * 2).alias("starts"))
 
 
 @query(f"SELECT DISTINCT video_id, card_id FROM {FRAMES}")
@@ -138,10 +134,10 @@ def add_column(spark, sf_dir):
     return rows.where("video_id % 2 <> 0").unionByName(rows.where("video_id % 2 = 0").withColumn("game", F.lit("first")), allowMissingColumns=True)
 
 
-@query(f"SELECT seq, CASE WHEN seq % 5 = 0 THEN 'ok' END AS review FROM {FRAMES} WHERE line = 1")
+@query(f"SELECT seq, CASE WHEN seq % 5 = 0 THEN 'ok' END AS review FROM {FRAMES}")
 def review_flag(spark, sf_dir):
-    rows = frames(spark, sf_dir).where("line = 1").select("seq", F.lit(None).cast("string").alias("review"))
-    return R.update_by_key(rows, rows.where("seq % 5 = 0").select("seq", F.lit("ok").alias("review")), ["seq"], ["review"])
+    rows = frames(spark, sf_dir).select("seq", F.lit(None).cast("string").alias("review"))
+    return R.update_by_key(rows, rows.where("seq % 5 = 0").select("seq", F.lit("ok").alias("review")).distinct(), ["seq"], ["review"])
 
 
 @query(f"SELECT card_id, upper(name) AS name FROM {CARDS} WHERE card_id % 3 <> 1")

@@ -143,12 +143,24 @@ def canonical_median_residual(spark, sf_dir):
 
 @query(f"WITH r AS (SELECT video_id, row_number() OVER (ORDER BY sha256('3:' || CAST(video_id AS VARCHAR))) AS rn, count(*) OVER () AS n FROM {VIDEOS}) SELECT video_id FROM r WHERE rn <= n * 0.1")
 def head_fraction_split(spark, sf_dir):
-    """The first tenth in a reproducible shuffle: the threshold is a quantile of the hashes, not a global sort."""
+    """The first tenth in a reproducible shuffle.
+
+    Hashes are counted by their first four digits, of which there are 65,536; only those of the one group in which the
+    tenth ends are sorted.
+    """
     from lumenfold.functions.hashing import order_key
 
-    rows = videos(spark, sf_dir).select("video_id", order_key(F.col("video_id"), "3").alias("h"))
-    n = rows.count()
-    return rows.orderBy("h").limit(int(n * 0.1)).select("video_id")
+    rows = videos(spark, sf_dir).select("video_id", order_key(F.col("video_id"), "3").alias("h")).withColumn("head", F.substring("h", 1, 4))
+    groups = sorted((r["head"], r["count"]) for r in rows.groupBy("head").count().collect())
+    wanted, edge = int(sum(n for _, n in groups) * 0.1), None
+    for head, n in groups:
+        if n > wanted:
+            edge = head
+            break
+        wanted -= n
+    whole = rows.where(F.col("head") < edge) if edge else rows
+    rest = rows.where(F.col("head") == edge).orderBy("h").limit(wanted) if edge else rows.limit(0)
+    return whole.unionByName(rest).select("video_id")
 
 
 @query(f"SELECT video_id FROM {VIDEOS} ORDER BY sha256('42:' || CAST(video_id AS VARCHAR)) LIMIT 100")

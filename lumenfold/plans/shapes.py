@@ -12,11 +12,11 @@ REGISTRY: dict[str, tuple] = {}
 query = registrar(REGISTRY)
 
 SIDE = {"x1": "0.1 + (k % 7) * 0.05", "y1": "0.1 + (k % 5) * 0.05", "x2": "0.6 + (k % 4) * 0.05", "y2": "0.7 + (k % 3) * 0.05", "d": "(k % 9 - 4) * 0.01"}
-BOXES = "(SELECT id, k, " + ", ".join(f"{e} AS {n}" for n, e in SIDE.items()) + " FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 997 AS k FROM lineitem WHERE l_linenumber = 1))"
+BOXES = "(SELECT id, k, " + ", ".join(f"{e} AS {n}" for n, e in SIDE.items()) + " FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 997 AS k FROM lineitem))"
 
 
 def boxes(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 997).alias("k"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 997).alias("k"))
     rows = rows.select("id", "k", *[F.expr(e).cast("double").alias(n) for n, e in SIDE.items()])
     x1, y1, x2, y2, d = (F.col(c) for c in SIDE)
     true = G.quad(x1, y1, x2, y1, x2, y2, x1, y2)
