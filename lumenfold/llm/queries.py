@@ -63,4 +63,37 @@ def op10_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_documents, op2_identify_language, op3_near_duplicates, op4_score_texts, op5_format_chats, op6_picture_copies, op7_count_tokens, op8_find_leaks, op9_find_personal_data, op10_scan_licenses)}
 
-ORACLE_SQL: dict[str, str] = {}
+# Over all words and all pairs of documents that share a shingle, which small tables allow.
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS root FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root, w.doc_id) AS component_id, coalesce(root, w.doc_id) = w.doc_id AS kept
+  FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN roots ON node = w.doc_id
+"""
+
+# Every placement of every item at every document, by the words that they have in common.
+LEAKS_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM documents),
+b AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM benchmark),
+dw AS (SELECT doc_id, len(words) AS dn, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS p FROM d),
+bw AS (SELECT item_id, len(words) AS n, least(13, len(words)) AS width, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS q FROM b),
+equal AS (SELECT doc_id, item_id, p - q AS placed, p, width, greatest(0, p - q) AS low, least(dn, p - q + n) AS high FROM dw JOIN bw ON bw.word = dw.word),
+near AS (SELECT * FROM equal QUALIFY 100 * count(*) OVER (PARTITION BY doc_id, item_id, placed) >= 80 * width),
+windows AS (
+  SELECT doc_id, item_id, placed, width, s FROM (SELECT *, unnest(generate_series(greatest(p - width + 1, low), least(p, high - width))) AS s FROM near)
+   GROUP BY ALL HAVING 100 * count(*) >= 80 * width),
+spans AS (SELECT doc_id, item_id, placed, min(s) AS first, max(s + width) AS last FROM windows GROUP BY ALL),
+found AS (SELECT doc_id, item_id, first, last - first AS n_words, count(*) AS matched FROM spans JOIN near USING (doc_id, item_id, placed) WHERE p >= first AND p < last GROUP BY doc_id, item_id, placed, first, last)
+SELECT doc_id, item_id, first AS start_word, n_words, matched, matched / n_words AS similarity
+  FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, first, n_words DESC) = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES_SQL, "op8_find_leaks": LEAKS_SQL}
