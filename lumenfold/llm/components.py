@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, space: Workspace, tag: str, rounds: i
 
     Each round is written to the shared folder, so that plans stay short and a lost executor costs one round. A
     node's neighbours are only ever joined and aggregated, never gathered, so a hub of any size is no single task's
-    load. Null ends and self loops are ignored; an edge table without rows gives no rows.
+    load. Null ends and self loops are ignored; an edge table without rows gives no rows. Should rounds not settle in
+    ``rounds``, it raises.
     """
     current = space.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}-0")
     before = _digest(current)
@@ -38,6 +39,8 @@ def connected_components(edges: DataFrame, space: Workspace, tag: str, rounds: i
         if digest == before:
             break
         before = digest
+    else:
+        raise RuntimeError(f"components don't settle within {rounds} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

@@ -88,3 +88,8 @@ def test_sample_is_500_rows_a_language(spark, monkeypatch):
     monkeypatch.setattr(langid, "fit", lambda rows, settings: learnt.extend(rows) or fit(rows, settings))
     langid.train(df)
     assert len(learnt) == 800
+
+
+def test_numerals_are_no_letters():
+    model = langid.fit([("en", *langid.features("the cat", 12))], langid.Settings(bits=12))
+    assert langid.predict(model, ["½ ² ① Ⅷ", "12_3", "é"])[0] == ["und", "und", "en"]

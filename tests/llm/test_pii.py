@@ -83,3 +83,16 @@ def test_the_classifier_in_sql_is_the_fitted_one(spark):
 
 def test_nothing_to_learn_from():
     assert pii.fit({}).logit("email", "22222") > 0
+
+
+def test_thousands_of_matches_in_one_text(spark):
+    """Places, votes and redaction of a text whose matches fill many blocks and segments."""
+    n = 5000
+    text = "é 😀 mail " + ", ".join(f"u{i}@m{i % 77}.example.com or 10.0.{i % 256}.{i % 251}" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    own = pii.fit({("email", "22222"): 90})
+    want = base(text)
+    (r,) = pii.digests(pii.find_spans(df, classifier=own)).collect()
+    assert (r.n_email, r.n_ip) == (n, n) and r.base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest()
+    (r,) = pii.redact(df, classifier=own).collect()
+    assert r.text == "é 😀 mail " + ", ".join(["[EMAIL] or [IP]"] * n)
