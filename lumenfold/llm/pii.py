@@ -147,7 +147,7 @@ def _votes(kind: str, loose: bool, segments: Column, x: Column) -> Column:
     before, after = _cut(segments, F.greatest(x["start"] - 1, F.lit(0)), F.least(x["start"], F.lit(1))), _cut(segments, x["end"], F.lit(1))
     either = lambda c: F.when(c, "2").otherwise("0")
     if kind == "email":
-        top = F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1))
+        top = F.lower(F.regexp_extract(value, r"(?<![A-Za-z0-9-])([A-Za-z0-9-]++)$", 1))
         check, gazetteer = either(top.rlike("^[a-z]{2,}$")), F.when(top.isin(TOP_DOMAINS), "2").otherwise("1")
     elif kind == "ip":
         check = either(F.lit(True) if loose else _valid(kind, value))
