@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import narrow
+from lumenfold.llm.common import narrow, released
 from lumenfold.llm.tokencount import counter
 
 # The marks around a turn's text, by role; all begin with an escaped character.
@@ -189,7 +189,7 @@ def format_chats(df: DataFrame, model: str, *, names: tuple[str, str, str, str]
     kind = df.schema[names[0]].dataType
     arrow = pa.schema([("id", _arrow(kind)), ("window", pa.int32()), ("formatted", pa.string()), ("n_turns", pa.int32()), ("n_repeated", pa.int32()), ("n_tokens", pa.int64()), ("loss", SPANS)])
     dealt, run = _formatted(df, names, model, budget, lambda rows: _in_batches(rows, arrow))
-    return dealt.mapInArrow(run, FORMATTED.format(kind=kind.simpleString())).withColumnRenamed("id", names[0])
+    return dealt.mapInArrow(released(run), FORMATTED.format(kind=kind.simpleString())).withColumnRenamed("id", names[0])
 
 
 def _arrow(kind) -> pa.DataType:
@@ -232,4 +232,4 @@ def chat_digests(df: DataFrame, model: str, *, names: tuple[str, str, str, str]
     arrow = pa.schema([("id", _arrow(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     dealt, run = _formatted(df, names, model, budget, lambda rows: _in_batches(read_back(rows), arrow))
     sql = f"id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return dealt.mapInArrow(run, sql).withColumnRenamed("id", names[0])
+    return dealt.mapInArrow(released(run), sql).withColumnRenamed("id", names[0])

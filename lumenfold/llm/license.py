@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumenfold.llm.common import bounded, narrow
+from lumenfold.llm.common import bounded, narrow, released
 from lumenfold.llm.normalise import plain, words
 from lumenfold.llm.wordhash import codes, mix, word_hashes
 
@@ -183,4 +183,4 @@ def scan_licenses(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     source = narrow(df, id=id_col, text=text_col)
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, license string, start bigint, end bigint, n_words bigint, dice double").withColumnRenamed("id", id_col)
+    return source.mapInArrow(released(run), f"id {kind}, license string, start bigint, end bigint, n_words bigint, dice double").withColumnRenamed("id", id_col)

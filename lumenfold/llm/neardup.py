@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import Workspace, as_bytes, bounded, narrow
+from lumenfold.llm.common import Workspace, as_bytes, bounded, narrow, released
 from lumenfold.llm.components import connected_components
 from lumenfold.llm.wordhash import shingle_sets
 
@@ -76,7 +76,7 @@ def _signatures(source: DataFrame, s: Settings) -> DataFrame:
             columns = [batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(_prints(sets), pa.binary()), pa.array([x[: s.k] for x in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "print", "sketch"])
 
-    return source.mapInArrow(run, f"id {kind}, n bigint, print binary, sketch array<bigint>")
+    return source.mapInArrow(released(run), f"id {kind}, n bigint, print binary, sketch array<bigint>")
 
 
 def _slot(c: Column, bits: int) -> Column:
@@ -100,7 +100,7 @@ def _full_sets(source: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
                 sets = shingle_sets(as_bytes(batch.column("text")), s.words)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_prints(sets), pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "print", "set"])
 
-    found = source.where("id is not null").withColumn("slot", _slot(F.col("id"), bits)).mapInArrow(run, f"id {kind}, print binary, set array<bigint>")
+    found = source.where("id is not null").withColumn("slot", _slot(F.col("id"), bits)).mapInArrow(released(run), f"id {kind}, print binary, set array<bigint>")
     return found.join(wanted, ["id", "print"], "left_semi").dropDuplicates(["id", "print"])
 
 

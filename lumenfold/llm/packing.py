@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import bounded, narrow
+from lumenfold.llm.common import KEPT, bounded, narrow, released
 
 PIECES = "id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, loss_tokens bigint, sequence_id bigint, segment int, `offset` bigint, input_ids array<int>, loss_mask array<boolean>"
 
@@ -168,13 +168,15 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class WordEncoder(dict):
-    """Ids of space-separated words as little-endian uint32 bytes, with a bounded memory of words and pieces.
+    """Ids of space-separated words as little-endian uint32 bytes, with a memory of words and pieces bounded in bytes.
 
     The tokenizer drops white space and merges within pre-tokens only, so a text's ids are its words' ids in order.
     Printable Latin-1 words go to the BPE model piece by piece; all others through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, words: int = 600_000, pieces: int = 300_000):
+    ENTRY = 200  # bytes of an entry besides its word and ids
+
+    def __init__(self, path: str, words: int = 48 << 20, pieces: int = 16 << 20):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -183,15 +185,25 @@ class WordEncoder(dict):
         self.model, self.find = self.tokenizer.model, regex.compile(PRE_TOKENS).findall
         self.alphabet, self.most_words, self.most_pieces = byte_alphabet(), words, pieces
         self.pieces: dict[str, bytes] = {}
+        self.held_words = self.held_pieces = 0
+        self[""] = b""
+
+    def forget(self) -> None:
+        """Drop the words and pieces held."""
+        self.clear()
+        self.pieces.clear()
+        self.held_words = self.held_pieces = 0
         self[""] = b""
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= self.most_pieces:
+            if self.held_pieces > self.most_pieces:
                 self.pieces.clear()
+                self.held_pieces = 0
             mapped = piece.encode().decode("latin-1").translate(self.alphabet)
             found = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+            self.held_pieces += self.ENTRY + len(piece) + len(found)
         return found
 
     def _whole(self, text: str) -> bytes:
@@ -204,11 +216,13 @@ class WordEncoder(dict):
             ids = b"".join(map(self._piece, self.find(unicodedata.normalize("NFC", word).lower())))
         if len(word) <= 1000:
             self[word] = ids
+            self.held_words += self.ENTRY + len(word) + len(ids)
         return ids
 
     def text(self, text: str) -> bytes:
-        if len(self) > self.most_words:
+        if self.held_words > self.most_words:
             self.clear()
+            self.held_words = 0
             self[""] = b""
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
@@ -242,12 +256,13 @@ def pack_texts(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_co
                 for owner, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     yield owner, own.text(text or "") + end, None
 
+        KEPT[__name__] = own.forget
         for batch in batches:
             kind = batch.schema.field("id").type
             yield from _pack(examples(batch, batches), limits, kind, with_ids)
 
     source = narrow(df, id=id_col, text=text_col)
-    return _named(source.mapInArrow(run, PIECES.format(kind=source.schema["id"].dataType.simpleString())), id_col, with_ids)
+    return _named(source.mapInArrow(released(run), PIECES.format(kind=source.schema["id"].dataType.simpleString())), id_col, with_ids)
 
 
 def pack_tokens(df: DataFrame, *, id_col: str = "doc_id", ids_col: str = "input_ids", loss_col: str | None = None, limits: Limits = Limits()) -> DataFrame:
@@ -271,7 +286,7 @@ def pack_tokens(df: DataFrame, *, id_col: str = "doc_id", ids_col: str = "input_
             yield from _pack(examples(batch, batches), limits, batch.schema.field("id").type, True)
 
     source = narrow(df, id=id_col, ids=ids_col, **({"mask": loss_col} if loss_col else {}))
-    return _named(source.mapInArrow(run, PIECES.format(kind=source.schema["id"].dataType.simpleString())), id_col, True)
+    return _named(source.mapInArrow(released(run), PIECES.format(kind=source.schema["id"].dataType.simpleString())), id_col, True)
 
 
 def _named(pieces: DataFrame, id_col: str, with_ids: bool) -> DataFrame:
