@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+    "clicks", "sales", "sale_lines", "clients", "client_changes", "vendors", "items", "stamps",
 )
 
 
