@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import chat, decontam, langid, license, lm, media, neardup, packing, pii, tokencount
+from lumenfold.llm import centroids, chat, decontam, langid, license, lm, media, neardup, packing, pii, ranking, tokencount
 from lumenfold.sources import table
 
 
@@ -61,7 +61,23 @@ def op10_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_documents, op2_identify_language, op3_near_duplicates, op4_score_texts, op5_format_chats, op6_picture_copies, op7_count_tokens, op8_find_leaks, op9_find_personal_data, op10_scan_licenses)}
+def op12_rank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "sale_lines")
+    mixed = F.coalesce(F.crc32(F.col("sale_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    grouped = lambda c: F.when(mixed, -1).otherwise(c)
+    month = F.coalesce(100 * F.year("shipped_at") + F.month("shipped_at"), F.lit(-1))
+    hundredths = lambda c: F.floor(100 * F.col(c) + 0.5)
+    groups = {"vendor_id": grouped(F.col("vendor_id")), "part": grouped(F.coalesce(F.col("item_id") % 5, F.lit(-1))), "month": grouped(month)}
+    pair = {"tens": (F.floor(F.col("quantity") / 10), True), "percent": (hundredths("discount"), False)}
+    then = {"sale_id": (F.col("sale_id"), False), "line_no": (F.col("line_no"), False), "quantity": (F.col("quantity"), False), "amount_cents": (hundredths("amount"), False)}
+    return ranking.first_places(lines, groups, pair, then, k=2).select("vendor_id", "part", "month", "pos", "place", "sale_id", "line_no", "quantity", "percent", "amount_cents", "tied")
+
+
+def op13_cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_documents, op2_identify_language, op3_near_duplicates, op4_score_texts, op5_format_chats, op6_picture_copies, op7_count_tokens, op8_find_leaks, op9_find_personal_data, op10_scan_licenses, op12_rank_lines, op13_cluster_vectors)}
 
 # Over all words and all pairs of documents that share a shingle, which small tables allow.
 NEAR_DUPLICATES_SQL = r"""
@@ -96,4 +112,40 @@ SELECT doc_id, item_id, first AS start_word, n_words, matched, matched / n_words
   FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, first, n_words DESC) = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES_SQL, "op8_find_leaks": LEAKS_SQL}
+# CRC-32 of a number's decimal text, bit by bit; the polynomial is a fixed value.
+RANKS_SQL = r"""
+WITH codes AS (SELECT sale_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(sale_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, _: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) AS crc
+    FROM (SELECT DISTINCT sale_id FROM sale_lines WHERE sale_id IS NOT NULL)),
+l AS (SELECT coalesce(crc % 5 = 0, false) AS mixed, vendor_id, coalesce(item_id % 5, -1) AS part, coalesce(100 * year(shipped_at) + month(shipped_at), -1) AS month,
+    sale_id, line_no::BIGINT AS line_no, quantity::BIGINT AS quantity, floor(quantity / 10)::BIGINT AS tens, floor(100 * discount + 0.5)::BIGINT AS percent, floor(100 * amount + 0.5)::BIGINT AS amount_cents
+    FROM sale_lines LEFT JOIN codes USING (sale_id)),
+g AS (SELECT CASE WHEN mixed THEN -1 ELSE vendor_id END AS vendor_id, CASE WHEN mixed THEN -1 ELSE part END AS part, CASE WHEN mixed THEN -1 ELSE month END AS month,
+    sale_id, line_no, quantity, tens, percent, amount_cents FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY vendor_id, part, month ORDER BY tens DESC NULLS LAST, percent NULLS LAST, sale_id NULLS LAST, line_no NULLS LAST, quantity NULLS LAST, amount_cents NULLS LAST) AS pos,
+    count(*) OVER (PARTITION BY vendor_id, part, month, tens, percent) AS tied FROM g)
+SELECT vendor_id, part, month, pos, pos AS place, sale_id, line_no, quantity, percent, amount_cents, tied FROM r WHERE pos <= 2
+"""
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every round as a table of its own."""
+    squares = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT"
+    assign = lambda r: f"a{r} AS MATERIALIZED (SELECT row, vec_id, v, cluster, {squares} AS distance FROM kept, c{r} QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)"
+    means = lambda r: (
+        f"s{r} AS (SELECT cluster, i, sum(v[i])::BIGINT AS t, count(*) AS n FROM a{r}, range(1, 65) AS x(i) GROUP BY cluster, i), "
+        f"m{r} AS (SELECT cluster, list((t - ((t % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY cluster), "
+        f"c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))"
+    )
+    steps = ", ".join(f"{assign(r)}, {means(r)}" for r in range(rounds))
+    return f"""
+WITH fine AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM fine),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1)::INTEGER AS cluster, v AS c FROM kept QUALIFY cluster < {k}),
+{steps}, {assign(rounds)}
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c{rounds}.c, ',')) AS centroid_sha256
+  FROM a{rounds} JOIN c{rounds} USING (cluster)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES_SQL, "op8_find_leaks": LEAKS_SQL, "op12_rank_lines": RANKS_SQL, "op13_cluster_vectors": _clusters_sql()}
