@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import centroids, chat, decontam, langid, license, lm, media, neardup, packing, pii, ranking, tokencount
+from lumenfold.llm import centroids, chat, decontam, langid, license, lm, media, neardup, packing, pii, ranking, tokencount, vectorgraph
 from lumenfold.sources import table
 
 
@@ -61,6 +61,10 @@ def op10_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorgraph.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_rank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "sale_lines")
     mixed = F.coalesce(F.crc32(F.col("sale_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -77,7 +81,7 @@ def op13_cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_documents, op2_identify_language, op3_near_duplicates, op4_score_texts, op5_format_chats, op6_picture_copies, op7_count_tokens, op8_find_leaks, op9_find_personal_data, op10_scan_licenses, op12_rank_lines, op13_cluster_vectors)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_documents, op2_identify_language, op3_near_duplicates, op4_score_texts, op5_format_chats, op6_picture_copies, op7_count_tokens, op8_find_leaks, op9_find_personal_data, op10_scan_licenses, op11_near_vectors, op12_rank_lines, op13_cluster_vectors)}
 
 # Over all words and all pairs of documents that share a shingle, which small tables allow.
 NEAR_DUPLICATES_SQL = r"""
@@ -112,6 +116,17 @@ SELECT doc_id, item_id, first AS start_word, n_words, matched, matched / n_words
   FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, first, n_words DESC) = 1
 """
 
+# All pairs of a label.
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS row, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.row <> b.row WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a AS node, b AS root FROM p UNION SELECT r.node, p.b FROM reach r JOIN p ON p.a = r.root),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, root) AS component_id, vec_id = least(vec_id, root) AS kept
+  FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN roots ON node = vec_id
+"""
+
 # CRC-32 of a number's decimal text, bit by bit; the polynomial is a fixed value.
 RANKS_SQL = r"""
 WITH codes AS (SELECT sale_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(sale_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
@@ -148,4 +163,4 @@ SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIG
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES_SQL, "op8_find_leaks": LEAKS_SQL, "op12_rank_lines": RANKS_SQL, "op13_cluster_vectors": _clusters_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES_SQL, "op8_find_leaks": LEAKS_SQL, "op11_near_vectors": VECTORS_SQL, "op12_rank_lines": RANKS_SQL, "op13_cluster_vectors": _clusters_sql()}
