@@ -1,40 +1,30 @@
 """What the engine asks of services, media tools and models, which it doesn't hold itself.
 
-Each interface is a Protocol; the functions beside them are the engine's part (paging, retries, decisions, tables of
-results) and take any object that has the methods, as tests do with fakes.
+Each interface is a Protocol; the functions beside them, and the data sources in ``remote``, are the engine's part
+(decisions, tables of results) and take any object that has the methods, as tests do with fakes.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import email.utils
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- services ---------------------------------------------------------------------------------------------------------
 
 
-class BulkIndex(Protocol):
-    """A service's list of bulk files: dicts with type, uri and updated_at."""
-
-    def entries(self) -> Sequence[dict]: ...
-
-
 class Pages(Protocol):
-    """A paged listing; ``total`` is what the service says of all pages, or None."""
+    """A paged listing; the second value is what the service says of all rows, or None."""
 
     def page(self, number: int) -> tuple[Sequence[dict], int | None]: ...
 
 
-class WikiText(Protocol):
-    def text(self, title: str) -> str: ...
-
-
 class IdLookup(Protocol):
     """Ids for a batch of keys, in their order; raises Busy if it is to be asked again later."""
 
@@ -45,46 +35,13 @@ class Busy(Exception):
     """The service is busy (429) or failing (5xx)."""
 
 
-def pick_bulk(index: BulkIndex, kinds: Sequence[str]) -> dict[str, dict]:
-    """The newest entry of each kind asked for; a kind that isn't there raises."""
-    found = {kind: max((e for e in index.entries() if e["type"] == kind), key=lambda e: e["updated_at"], default=None) for kind in kinds}
-    if missing := [kind for kind, entry in found.items() if entry is None]:
-        raise KeyError(", ".join(missing))
-    return found
-
-
-def read_pages(source: Pages, first: int = 1) -> Iterator[dict]:
-    """All rows until an empty page, or until as many as the service counts."""
-    seen, number = 0, first
-    while True:
-        rows, total = source.page(number)
-        yield from rows
-        seen, number = seen + len(rows), number + 1
-        if not rows or total is not None and seen >= total:
-            return
-
-
-def look_up(source: IdLookup, keys: Sequence[str], wait: Callable[[float], None], batch: int = 10, tries: int = 4, pause: float = 1.0) -> list[str | None]:
-    """An id or None for each key, asked for in batches; a busy service is asked again after doubling pauses."""
-    out: list[str | None] = []
-    for at in range(0, len(keys), batch):
-        part = keys[at : at + batch]
-        for turn in range(tries):
-            try:
-                found = list(source.ids(part))
-                break
-            except Busy:
-                wait(pause * 2**turn)
-        else:
-            found = [None] * len(part)
-        out += found if len(found) == len(part) else [None] * len(part)
-    return out
-
+def newest_of_kinds(entries: DataFrame, *kinds: str) -> DataFrame:
+    """Of a service's bulk files (type, uri, updated_at), the newest of each kind asked for; of equally new ones the last uri.
 
-def table_of(spark: SparkSession, rows: Iterator[dict], schema: str) -> DataFrame:
-    """A service's rows as a table of a fixed schema; what a row lacks is null."""
-    names = [f.name for f in spark.createDataFrame([], schema).schema]
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+    A kind without an entry gives no row; an entry without a time is older than any with one.
+    """
+    newest = F.max(F.struct("updated_at", "uri")).alias("newest")
+    return entries.where(F.col("type").isin(*kinds)).groupBy("type").agg(newest).select("type", "newest.uri", "newest.updated_at")
 
 
 # --- downloads --------------------------------------------------------------------------------------------------------
@@ -99,8 +56,8 @@ def http_date(text: str | None) -> dt.datetime | None:
 
 
 def http_timestamp(c: Column) -> Column:
-    """The same of a column; the weekday in front says nothing new."""
-    return F.try_to_timestamp(F.regexp_replace(c, r"^\s*[A-Za-z]+,\s*| GMT\s*$", ""), F.lit("d MMM yyyy HH:mm:ss"))
+    """The same of a column, in any session's time zone; the weekday in front says nothing new."""
+    return F.try_to_timestamp(F.regexp_replace(F.regexp_replace(c, r"^\s*[A-Za-z]+,\s*", ""), r" (?:GMT|UTC)\s*$", " Z"), F.lit("d MMM yyyy HH:mm:ss X"))
 
 
 def download_decision(exists: Column, force: Column, check: Column, local: Column, remote: Column) -> Column:
@@ -118,12 +75,6 @@ class FrameReader(Protocol):
     def frames(self, content: bytes, key_only: bool) -> Iterator[tuple[int, bytes]]: ...
 
 
-class MediaProbe(Protocol):
-    """duration (s), width, height, rate of a media file."""
-
-    def probe(self, content: bytes) -> dict: ...
-
-
 class PictureModel(Protocol):
     """Vectors of encoded pictures, a row each: neural embeddings, perceptual hashes (0 and 1), blur scores, corners."""
 
@@ -138,12 +89,6 @@ class PictureEdit(Protocol):
     def edit(self, picture: bytes, numbers: Sequence[float]) -> bytes: ...
 
 
-class Exporter(Protocol):
-    """Writes what a trainer made for other runtimes."""
-
-    def export(self, model: object, path: str) -> None: ...
-
-
 def vectors_of(df: DataFrame, id_col: str, data_col: str, model: PictureModel, normalise: bool = False, batch: int = 64) -> DataFrame:
     """id, vector of each row by a model, in batches; unit length on demand; null data or a picture the model refuses gives null."""
 

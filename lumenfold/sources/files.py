@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -104,6 +105,36 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, to, over)
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file, whole and all at once, unless there is one of that name: then false. Of any number of writers one gets true.
+
+    Written aside, then put in place by what doesn't overwrite: a hard link on local disks, elsewhere the file system's
+    rename without overwriting, which HDFS and object stores with conditional writes do in one step.
+    """
+    jvm = spark.sparkContext._jvm
+    fs, to = _filesystem(spark, path)
+    fs.mkdirs(to.getParent())
+    aside = jvm.org.apache.hadoop.fs.Path(f"{to.getParent()}/.{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.link(aside.toUri().getPath(), to.toUri().getPath())
+        else:
+            none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, to, none)
+    except Exception:
+        if not fs.exists(to):
+            raise
+        return False
+    finally:
+        fs.delete(aside, False)
+    return True
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's text; None if there is none."""
     fs, where = _filesystem(spark, path)

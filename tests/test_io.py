@@ -2,7 +2,6 @@
 
 import io
 import json
-import sqlite3
 import subprocess
 import sys
 import zipfile
@@ -14,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.operators import jobs, sequential
-from lumenfold.sources import adapters, arrays, files, sqlite
+from lumenfold.sources import adapters, arrays, files
 
 CARD = "id string, name string, image_uris struct<png:string>, card_faces array<struct<image_uris:struct<png:string>>>"
 
@@ -150,29 +149,24 @@ def test_archives_of_vectors(spark, tmp_path):
         arrays.write_npz(df, where, "id", "v", most=1)
 
 
-def test_sqlite_is_read_in_ranges(spark, tmp_path):
-    path = str(tmp_path / "cards.db")
-    with sqlite3.connect(path) as con:
-        con.execute('CREATE TABLE "my cards" (id TEXT PRIMARY KEY, n INTEGER, price REAL)')
-        con.execute("CREATE TABLE none (id TEXT)")
-        con.executemany('INSERT INTO "my cards" VALUES (?, ?, ?)', [(f"c{i}", i if i % 3 else None, i / 2) for i in range(1000)])
-        con.execute('DELETE FROM "my cards" WHERE n % 10 = 1')
-    con.close()
-    df = sqlite.read_sqlite(spark, path, "my cards", "id string, price double, n bigint", partitions=7)
-    rows = {r.id: (r.n, r.price) for r in df.collect()}
-    assert len(rows) == 933 and df.rdd.getNumPartitions() == 7 and rows["c3"] == (None, 1.5) and rows["c10"] == (10, 5.0)
-    assert sqlite.read_sqlite(spark, path, "none", "id string").collect() == []
-    with pytest.raises(sqlite3.OperationalError):
-        sqlite.read_sqlite(spark, str(tmp_path / "absent.db"), "x", "id string")
-    assert not (tmp_path / "absent.db").exists()
-
-
 def test_claims_and_progress(spark, tmp_path):
     claims = jobs.Claims(spark, str(tmp_path / "claims"))
     with ThreadPoolExecutor(8) as pool:
         won = list(pool.map(lambda n: claims.take("v/1", f"w{n}"), range(8)))
     assert sum(won) == 1 and claims.owner("v/1") == f"w{won.index(True)}"
     assert not claims.give_back("v/1", "other") and claims.give_back("v/1", f"w{won.index(True)}") and claims.take("v/1", "again")
+    now = [0.0]
+    leased = jobs.Claims(spark, str(tmp_path / "leased"), lease=60, clock=lambda: now[0])
+    assert leased.take("x", "dead") and not leased.take("x", "other")
+    now[0] = 50.0
+    assert leased.take("x", "dead") and [r["item"] for r in leased.held().collect()] == ["x"]  # renewed
+    now[0] = 109.0
+    assert leased.owner("x") == "dead" and not leased.take("x", "other")
+    now[0] = 111.0
+    assert leased.owner("x") is None and leased.held().collect() == []
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda n: leased.take("x", f"w{n}"), range(8))) == 1
+    assert not leased.give_back("x", "dead")
     waiting = spark.createDataFrame([(f"i{n}", n // 2) for n in range(6)], "id string, added int")
     taken = [claims.next(waiting, "id", "added", "me", at_once=2) for _ in range(7)]
     assert taken == ["i5", "i4", "i3", "i2", "i1", "i0", None]
@@ -192,41 +186,10 @@ def test_claims_and_progress(spark, tmp_path):
     assert done == ["a", "b", "failed", "c", "d"]
 
 
-def test_services(spark):
-    class Listing:
-        def __init__(self, sizes, total):
-            self.sizes, self.total, self.asked = sizes, total, 0
-
-        def page(self, number):
-            self.asked += 1
-            n = self.sizes[number - 1] if number <= len(self.sizes) else 0
-            return [{"id": f"{number}-{i}", "other": 1} for i in range(n)], self.total
-
-    for total, asked in ((5, 2), (None, 3)):
-        listing = Listing([3, 2], total)
-        rows = adapters.table_of(spark, adapters.read_pages(listing), "id string, name string").collect()
-        assert len(rows) == 5 and listing.asked == asked and {r.name for r in rows} == {None}
-
-    class Ids:
-        turns = 0
-
-        def ids(self, keys):
-            self.turns += 1
-            if self.turns == 1 or "busy" in keys:
-                raise adapters.Busy
-            return [k.upper() for k in keys]
-
-    pauses = []
-    assert adapters.look_up(Ids(), ["a", "b", "c"], pauses.append, batch=2) == ["A", "B", "C"] and pauses == [1.0]
-    assert adapters.look_up(Ids(), ["a", "busy"], pauses.append, batch=1, tries=2) == ["A", None]
-
-    class Bulk:
-        def entries(self):
-            return [{"type": "all", "updated_at": "2024-01-02", "uri": "y"}, {"type": "all", "updated_at": "2024-01-01", "uri": "x"}]
-
-    assert adapters.pick_bulk(Bulk(), ["all"])["all"]["uri"] == "y"
-    with pytest.raises(KeyError):
-        adapters.pick_bulk(Bulk(), ["all", "art"])
+def test_newest_of_kinds(spark):
+    rows = [("all", "x", "2024-01-01"), ("all", "y", "2024-01-02"), ("all", "z", None), ("art", "a", None), ("other", "o", "2024-01-01")]
+    got = adapters.newest_of_kinds(spark.createDataFrame(rows, "type string, uri string, updated_at string"), "all", "art", "none").collect()
+    assert sorted(map(tuple, got)) == [("all", "y", "2024-01-02"), ("art", "a", None)]
 
 
 def test_download_decisions(spark):
@@ -237,6 +200,14 @@ def test_download_decisions(spark):
     for r in decided:
         assert (r.d == "fetch") == (not r.e or r.f or (r.c and r.n != "old"))
     assert adapters.http_date("Tue, 02 Jan 2024 03:04:05 GMT").isoformat() == "2024-01-02T03:04:05+00:00" and adapters.http_date("soon") is adapters.http_date(None) is None
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for name in ("America/New_York", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", name)
+        try:
+            abroad = spark.createDataFrame([("Tue, 02 Jan 2024 03:04:05 GMT",)], "t string").select(F.unix_timestamp(adapters.http_timestamp(F.col("t"))).alias("t")).first().t
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+        assert abroad == 1704164645
     at = spark.createDataFrame([("Tue, 02 Jan 2024 03:04:05 GMT",), ("soon",), (None,)], "t string").select(adapters.http_timestamp(F.col("t")).cast("string").alias("t")).collect()
     assert [r.t for r in at] == ["2024-01-02 03:04:05", None, None]
 
@@ -277,4 +248,4 @@ def test_entry_imports_without_the_training_data_package(tmp_path, without):
     said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     total, ops, pipeline, subset = said.stdout.split()
     present = not without and (root / "lumenfold/llm").exists()
-    assert int(total) > 130 and (int(ops) == 10) == present and (pipeline == "True") == present and subset == "True"
+    assert int(total) > 130 and int(ops) == 13 * present and (pipeline == "True") == present and subset == "True"

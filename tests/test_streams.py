@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import wiki
 from lumenfold.operators import sequential
 from lumenfold.streaming import pacing, scan
+from lumenfold.streaming import sink as sink_module
 
 REPLAYS = [
     ("AAA", 3, ["A"]),
@@ -133,3 +134,74 @@ def test_pacing(spark):
     rows = [(1, t, took) for t, took in ((0, 10), (50, 0), (100, 500), (300, 0), (600, None), (650, 1), (700, 1))] + [(2, 5, 0), (2, None, 0)]
     got = pacing.paced(spark.createDataFrame(rows, "k long, t long, took long"), "k", "t", "took", 100).collect()
     assert sorted((r.k, r.t) for r in got) == [(1, 0), (1, 100), (1, 600), (1, 700), (2, 5)]
+
+
+@pytest.fixture
+def rocks(spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_killed_stream_sinks_every_batch_once(spark, tmp_path, rocks, monkeypatch):
+    """Killed between write and commit, and between the commit and Spark's own, then restarted: equals the batch fold."""
+    rows, df = scans(spark, 200)
+    sure = df.withColumn("confidence", F.when(F.col("seq") % 11 == 0, 0.2).when(F.col("seq") % 13 > 0, 0.9))
+    folder = str(tmp_path / "in")
+    for part in range(4):
+        sure.where(F.col("seq").between(part * 50, part * 50 + 49)).coalesce(1).write.mode("append").parquet(folder)
+    source = lambda: spark.readStream.schema(sure.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    sink = sink_module.OnceSink(spark, str(tmp_path / "out"))
+    commit, deaths = sink_module.OnceSink._commit, []
+
+    def dying(self, name, content):
+        if not deaths:  # rows are written, the commit isn't
+            deaths.append(name)
+            raise RuntimeError("killed")
+        commit(self, name, content)
+        if len(deaths) == 1 and content["batch"] == 2:  # committed, but Spark doesn't know
+            deaths.append(name)
+            raise RuntimeError("killed")
+
+    monkeypatch.setattr(sink_module.OnceSink, "_commit", dying)
+    for ends in ("killed", "killed", None):
+        q = sink_module.confirm_once(source(), sink, str(tmp_path / "state"), least=0.5)
+        try:
+            q.awaitTermination(180)
+        except Exception as e:  # noqa: BLE001
+            assert ends and ends in str(e)
+        assert bool(q.exception()) == bool(ends)
+    assert len(deaths) == 2 and deaths[1].endswith("0000000002")
+    gate = lambda r: (*r[:3], r[3] and r[2] % 11 > 0 and r[2] % 13 > 0, r[4])
+    want = folded(list(map(gate, rows)), scan.Rules())
+    read = lambda: sorted(map(tuple, sink.read(scan.CONFIRMED).collect()))
+    assert read() == want and len(want) > 3
+    names = lambda d: sorted(p.name for p in (tmp_path / "out" / d).iterdir() if not p.name.startswith("."))
+    assert len(names("data")) == 5 and len(names("commits")) == 4  # one folder has no commit
+    sink.compact(scan.CONFIRMED)
+    assert read() == want and len(names("data")) == 2 and not names("commits")
+    sink.compact(scan.CONFIRMED)
+    # more input after the compaction; batches that the snapshot holds aren't taken again
+    more = spark.createDataFrame([(99, i, 1000 + i, True, "Z", 0.9) for i in range(3)], sure.schema)
+    more.coalesce(1).write.mode("append").parquet(folder)
+    q = sink_module.confirm_once(source(), sink, str(tmp_path / "state"), least=0.5)
+    q.awaitTermination(180)
+    assert read() == sorted([*want, (99, "Z", 2, 1002)])
+
+
+def test_second_writer_of_a_batch_doesnt_count(spark, tmp_path):
+    sink = sink_module.OnceSink(spark, str(tmp_path / "out"))
+    assert sink.read("id bigint").collect() == []
+    one, other = spark.range(3), spark.range(10, 12)
+    sink.take(one, 0)
+    sink._commit(sink._entry("none", 0), {"query": "none", "batch": 0, "folder": "data/other"})  # came too late
+    sink.take(other, 0)
+    sink.take(other, 1)
+    assert sorted(r.id for r in sink.read("id bigint").collect()) == [0, 1, 2, 10, 11]
+
+
+def test_gate(spark):
+    df = spark.createDataFrame([(1, True, 0.4), (2, True, 0.5), (3, True, None), (4, False, 0.9), (5, None, 0.9)], "n int, present boolean, c double")
+    kept = lambda least: [r.n for r in sink_module.gated(df, F.col("present"), F.col("c"), least).where("present").collect()]
+    assert kept(0.5) == [2] and kept(0) == [1, 2, 3]
