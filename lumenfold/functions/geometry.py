@@ -143,6 +143,34 @@ def rotate_points(q: Column, degrees: Column, cx: float, cy: float) -> Column:
     return F.transform(q, lambda p: point(cx + (p["x"] - cx) * F.cos(a) + (p["y"] - cy) * F.sin(a), cy - (p["x"] - cx) * F.sin(a) + (p["y"] - cy) * F.cos(a)))
 
 
+def square_to_quad(q: Column) -> list[Column]:
+    """Row-major 3 x 3 matrix of the projective map from the unit square, clockwise from (0, 0), to four points.
+
+    Null where the last three points stand on one line.
+    """
+    x, y = [q[i]["x"] for i in range(4)], [q[i]["y"] for i in range(4)]
+    ax, ay, bx, by = x[1] - x[2], y[1] - y[2], x[3] - x[2], y[3] - y[2]
+    sx, sy = x[0] - x[1] + x[2] - x[3], y[0] - y[1] + y[2] - y[3]
+    det = F.nullif(ax * by - bx * ay, F.lit(0.0))
+    g, h = (sx * by - bx * sy) / det, (ax * sy - sx * ay) / det
+    return [x[1] - x[0] + g * x[1], x[3] - x[0] + h * x[3], x[0], y[1] - y[0] + g * y[1], y[3] - y[0] + h * y[3], y[0], g, h, F.lit(1.0)]
+
+
+def _product(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[3 * i] * b[j] + a[3 * i + 1] * b[3 + j] + a[3 * i + 2] * b[6 + j] for i in range(3) for j in range(3)]
+
+
+def _adjugate(m: list[Column]) -> list[Column]:
+    a, b, c, d, e, f, g, h, i = m
+    return [e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
+
+
+def quad_to_quad(source: Column, target: Column) -> list[Column]:
+    """The projective map of four points to four others, as a row-major matrix with 1 at its end; exact, without a solver."""
+    whole = _product(square_to_quad(target), _adjugate(square_to_quad(source)))
+    return [c / F.nullif(whole[8], F.lit(0.0)) for c in whole]
+
+
 def apply_homography(q: Column, h: list[Column]) -> Column:
     """Points under a row-major 3 x 3 matrix."""
     return F.transform(q, lambda p: point((h[0] * p["x"] + h[1] * p["y"] + h[2]) / (h[6] * p["x"] + h[7] * p["y"] + h[8]), (h[3] * p["x"] + h[4] * p["y"] + h[5]) / (h[6] * p["x"] + h[7] * p["y"] + h[8])))

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.plans import catalog, maintenance, reports, search, shapes, streams, text
+from lumenfold.plans import catalog, maintenance, pictures, reports, search, shapes, streams, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (catalog, search, reports, text, shapes, maintenance, streams):
+for _module in (catalog, search, reports, text, shapes, maintenance, streams, pictures):
     for _name, (_query, _sql) in _module.REGISTRY.items():
         QUERIES[_name] = _query
         if _sql:
