@@ -15,6 +15,7 @@ more texts are joined, with the same result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,8 @@ MASKS = ((0, 1, 2, 6, 7), (0, 1, 3, 5, 6), (0, 3, 5, 6, 7))
 # Masks of shorter items, and the numbers of words for which each is needed: as many substitutions as 80 % allows leave
 # three words in a row in items of 6 to 11 words and none in items under 5.
 SHORT = (((0, 1, 2), range(3, 12)), ((0, 1, 3, 4), range(5, 6)), ((0, 1), range(2, 3)), ((0,), range(1, 2)))
+# Of an item of one or two words every place with its seed is as good; the first in a text is the one to report.
+FIRST_ONLY = ((0, 1), (0,))
 
 
 @dataclass(frozen=True)
@@ -62,7 +65,7 @@ def _slots(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _item_seeds(items: DataFrame, s: Settings) -> DataFrame:
-    """item, words and its seeds with their positions; items without words have none."""
+    """item, passage (128 bits that stand for its words), words and its seeds with their positions; items without words have none."""
     numbered = list(enumerate([*s.masks, *(mask for mask, _ in SHORT)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +82,13 @@ def _item_seeds(items: DataFrame, s: Settings) -> DataFrame:
                     keys.append(key[at])
                     places.append(int(at - ptr[owner[at]]))
             signed = hashes.view(np.int64)
-            columns = [batch.column("item"), pa.array([signed[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.list_(pa.int64())), pa.array([np.array(k, np.uint64).view(np.int64) for k, _ in found], pa.list_(pa.int64())), pa.array([p for _, p in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["item", "words", "seed", "place"])
+            words = [signed[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+            names = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in words]
+            columns = [batch.column("item"), pa.array(names, pa.binary()), pa.array(words, pa.list_(pa.int64())), pa.array([np.array(k, np.uint64).view(np.int64) for k, _ in found], pa.list_(pa.int64())), pa.array([p for _, p in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["item", "passage", "words", "seed", "place"])
 
     kind = items.schema["item"].dataType.simpleString()
-    return items.mapInArrow(released(run), f"item {kind}, words array<bigint>, seed array<bigint>, place array<int>")
+    return items.mapInArrow(released(run), f"item {kind}, passage binary, words array<bigint>, seed array<bigint>, place array<int>")
 
 
 def _bitmap(found: DataFrame, bits: int) -> np.ndarray:
@@ -102,13 +107,14 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     Words are lower-cased, ASCII punctuation is white space. start_word is the first word of the text in the windows
     that pass, n_words how many words those span, matched how many of them are equal, similarity their share; of
     several placements the one with the most matched words is given, then the first. Null and empty texts and items
-    have no leak; an item of one word leaks into every text with that word. A null id is reported as null; rows that share an id are
-    searched each and reported once, by the same rule; equal items are searched once and reported each. Further
-    columns are not read; if either table is empty, so is the result.
+    have no leak; an item of one word leaks into every text with that word. Rows of either table that share an id, and
+    those whose id is null, are searched each and reported once for each pair of ids, by the same rule; equal items
+    are searched once and reported under each of their ids. Further columns are not read; if either table is empty, so
+    is the result.
     """
     s, space = settings, Workspace(df.sparkSession, "leaks")
     items = space.save(_item_seeds(narrow(benchmark, item=item_col, text=item_text_col).distinct(), s), "items")
-    passages = items.where(F.size("seed") > 0).groupBy("words").agg(F.min("item").alias("passage"), F.first("seed").alias("seed"), F.first("place").alias("place"))
+    passages = items.where(F.size("seed") > 0).groupBy("passage").agg(*[F.first(c).alias(c) for c in ("words", "seed", "place")])
     passages = space.save(passages, "passages")
     shared = df.sparkSession.sparkContext.broadcast(_bitmap(passages, s.bits))
     sizes = {r["n"] for r in passages.select(F.size("words").alias("n")).where(F.col("n") < max(r.stop for _, r in SHORT)).distinct().collect()}
@@ -121,10 +127,15 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
         for batch in bounded(batches, "text"):
             hashes, ptr = word_hashes([plain(t) for t in batch.column("text").to_pylist()])
             keys, places = [], []
-            for key, within in seeds(hashes, ptr, masks):
+            for (_, mask), (key, within) in zip(masks, seeds(hashes, ptr, masks), strict=True):
                 first, second = _slots(key, s.bits)
                 at = np.flatnonzero((bitmap[first >> 6] >> (first & 63)) & 1 & within)
                 at = at[((bitmap[second[at] >> 6] >> (second[at] & 63)) & 1).astype(bool)]
+                if mask in FIRST_ONLY and len(at):
+                    text = np.searchsorted(ptr, at, side="right")
+                    order = np.lexsort([at, key[at], text])
+                    again = (text[order][1:] == text[order][:-1]) & (key[at[order]][1:] == key[at[order]][:-1])
+                    at = np.sort(at[order[np.append(True, ~again)]])
                 keys.append(key[at])
                 places.append(at)
             keys, places = np.concatenate(keys).view(np.int64), np.concatenate(places)
@@ -166,11 +177,9 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
             kept = batch.filter(keep)
             yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("passage"), *[pa.array(numbers[:, i]) for i in range(3)]], names=["id", "passage", "start_word", "n_words", "matched"])
 
-    item_kind = items.schema["item"].dataType.simpleString()
-    compared = both.select("id", "passage", "offset", "item_words", "words").mapInArrow(released(compare), f"id {kind}, passage {item_kind}, start_word bigint, n_words bigint, matched bigint")
+    compared = both.select("id", "passage", "offset", "item_words", "words").mapInArrow(released(compare), f"id {kind}, passage binary, start_word bigint, n_words bigint, matched bigint")
     best = compared.groupBy("id", "passage").agg(F.max(F.struct("matched", (-F.col("start_word")).alias("from"), "n_words")).alias("best"))
-    named = items.select("item", "words").join(passages.select("words", "passage"), "words").select("item", "passage")
-    out = best.join(named, "passage")
+    out = best.join(items.select("item", "passage").distinct(), "passage").groupBy("id", "item").agg(F.max("best").alias("best"))
     return out.select(
         F.col("id").alias(id_col),
         F.col("item").alias(item_col),

@@ -78,3 +78,24 @@ def test_hot_seed_in_long_texts(spark):
     docs.append((99, f"{filler} " * 40 + items[7][1] + f" {filler}"))
     got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id, r.start_word, r.n_words, r.matched) for r in got] == [(99, 7, 2400, 28, 28)]
+
+
+def test_repeated_and_null_ids(spark):
+    """Items and texts that share an id or have none, equal texts under several ids, and a benchmark without any id."""
+    a, b, c = (" ".join(f"{x}{j}" for j in range(20)) for x in "abc")
+    short = c.split()
+    docs = [(1, f"x {a} y"), (2, f"{b} z"), (3, f"{b} w {a}"), (4, "nothing here"), (4, " ".join(short[:14])), (4, f"u v {c}"), (None, b), (None, "q " + a), (5, a)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    for items in ([(7, a), (7, b), (8, b), (None, a), (9, c), (9, c)], [(None, a), (None, c)], [(1, "a3"), (1, "b3"), (None, "b3 b4")]):
+        got = [(r.doc_id, r.item_id, r.start_word, r.n_words, r.matched) for r in find_leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(docs, items, Settings()) and got
+
+
+def test_hot_words_as_items(spark):
+    """Items of one and two words that texts hold thousands of times: one hit for each text is enough."""
+    text = " ".join(["the", "of", "the", "x"] * 3000)
+    docs = [(i, f"w{i} {text}") for i in range(6)] + [(9, "of the end"), (10, "other")]
+    items = [(1, "the"), (2, "of the"), (3, "x the"), (4, "end"), (5, "the the")]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    got = {(r.doc_id, r.item_id, r.start_word, r.n_words, r.matched) for r in find_leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == {(i, item, at, n, n) for i in range(6) for item, at, n in ((1, 1, 1), (2, 2, 2), (3, 4, 2))} | {(9, 1, 1, 1, 1), (9, 2, 0, 2, 2), (9, 4, 2, 1, 1)}
