@@ -77,3 +77,51 @@ def test_near_copies_of_a_similarity_from_0_8(spark, planted):
     docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, where).collect()}
     assert kept == set(range(len(rows))) - gone
+
+
+WIDE = "doc_id long, text string, lang string, source string, n_chars long, language string, id long, kept boolean, item_id long, component_id string, row int, passage string"
+
+
+def test_odd_rows_and_clashing_columns(spark, planted):
+    """Repeated and null ids, null, empty and very long texts, further columns: each stage by its rules."""
+    where, _ = planted
+    rng = random.Random(31)
+    leak = spark.read.parquet(f"{where}/benchmark.parquet").where("item_id = 2").first().text
+    plain = [sentence(rng, "en", 40) for _ in range(5)]
+    long = " ".join(sentence(rng, "en", 1000) for _ in range(40))
+    texts = [(1, plain[0]), (1, plain[1]), (2, plain[1]), (3, plain[0]), (None, plain[0]), (4, None), (5, ""), (6, long), (7, long + " " + leak), (8, "x " + leak), (8, plain[2]), (None, "y " + leak), (9, plain[3]), (9, plain[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "c", 5, True, 6, "d", 7, "e") for i, t in texts], WIDE)
+    key = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    without = lambda *ids: sorted(((i, t) for i, t in texts if i not in ids), key=str)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, where)
+    assert out.columns == docs.columns and key(out) == without(2, 3, 7)  # 7 is near 6
+    out = corpus_pipeline.drop_leaks(spark, docs, where)
+    assert out.columns == docs.columns and key(out) == without(7, 8)  # both rows of 8, but none without an id
+    out = corpus_pipeline.redact_personal_data(spark, docs, where)
+    assert out.columns == docs.columns and key(out) == without() and all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
+    corpus = spark.read.parquet(f"{where}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text", "lang", "source", "n_chars", "lang AS language", "5L AS id", "true AS kept", "6L AS item_id", "'d' AS component_id", "7 AS row", "'e' AS passage")
+    out = corpus_pipeline.identify_language(spark, docs.unionByName(corpus), where)
+    assert out.columns == docs.columns and key(out.where("doc_id < 1000 OR doc_id IS NULL")) == without(4, 5)
+    packed = corpus_pipeline.pack(spark, docs, where)
+    pieces = defaultdict(int)
+    for r in packed.collect():
+        pieces[r.doc_id] += r.start == 0
+    assert dict(pieces) == {i: sum(j == i for j, _ in texts) for i, _ in texts}
+
+
+def test_empty_table(spark, planted):
+    where, _ = planted
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame([], WIDE)
+        out = stage(spark, docs, where)
+        assert out.collect() == [] and (name == "packing" or out.columns == docs.columns)
+
+
+def test_leaks_of_benchmarks_with_repeated_and_null_ids(spark, tmp_path):
+    """A clean document stays, whichever ids the benchmark gives its items."""
+    a, b, c = (" ".join(f"{x}{j}" for j in range(20)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (2, b), (3, c), (4, f"{c} {b}"), (5, "other words")], "doc_id long, text string")
+    for n, (items, gone) in enumerate([([(7, a), (7, b)], {1, 2, 4}), ([(None, a)], {1}), ([(None, a), (8, c), (None, c)], {1, 3, 4})]):
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/{n}/benchmark.parquet")
+        kept = {r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, f"{tmp_path}/{n}").collect()}
+        assert kept == {1, 2, 3, 4, 5} - gone
