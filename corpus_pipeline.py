@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences: language, near duplicates, benchmark leaks, personal data, packing.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows that it is given. All but the last return the columns of
-documents; the last returns the packed pieces. Rows with a null id can't be matched by id and stay.
+Every stage takes (spark, docs, sf_dir) and works on all rows that it is given, whole texts of any length. All but the
+last return the columns of documents, further ones too, whatever their names; the last returns the packed pieces. Of
+near duplicates and leaks it is ids that go: rows that share an id stay or go together, rows with a null id stay. Equal
+texts under different ids are near duplicates, and the smallest id stays. Null and empty texts go with the
+first stage, as no language can be told; a later stage that is given one keeps it. Without rows, a stage gives none; the
+language model then learns nothing and rejects all.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ from lumenfold.sources import table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model, learnt from the labelled ones, doesn't reject."""
     model = langid.train(docs)
-    judged = docs.withColumn("__language", langid.language(model, F.col("text")))
-    return judged.where(~F.col("__language.rejected")).select(*docs.columns)
+    judged = "language"
+    while judged in docs.columns:
+        judged += "_"
+    return docs.withColumn(judged, langid.language(model, F.col("text"))).where(~F.col(f"{judged}.rejected")).drop(judged)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
