@@ -38,6 +38,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/lumenfold-{tag}-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
+        release()  # what operators before have left in the driver, the JVM's part that Python held on to included
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

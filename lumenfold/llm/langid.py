@@ -191,9 +191,11 @@ def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     rows = sample.limit(2 * settings.sample * len(share)).toArrow()
     found = [(r, np.array(i.values), np.array(c.values)) for r, i, c in zip(rows["lang"].to_pylist(), rows["ids"], rows["counts"], strict=True)]
     del rows
-    pa.default_memory_pool().release_unused()  # the driver goes on to other work
     found.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
-    return fit(found, settings)
+    model = fit(found, settings)
+    del found
+    release()  # the driver goes on to other work
+    return model
 
 
 def predict(model: LanguageModel, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray, list[bool]]:

@@ -321,8 +321,8 @@ def score_texts(df: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
     than space and \\x09-\\x0D with A-Z lower-cased, then one end. base_score is the sum of log10((c + 0.1) /
     (N + 0.1 (V + 1))). Null text is empty: its end is scored. A null id stays null; repeated rows are counted and
     scored each; further columns are not read; an empty table gives an empty result. If nothing is learnt from, every
-    token is unknown and scores log10(0.5). A task holds one block or bucket: 8 and 16 MB of text, and from some 30 GB
-    on as much as keeps a block's column for a bucket at 8 KB.
+    token is unknown and scores log10(0.5). A task holds one block or bucket: 8 and 16 MB of text, and from some 8 GB
+    of text on as much as keeps a block's column for a bucket at 8 KB.
     """
     source = narrow(df.withColumn("__held", F.coalesce(held_out, F.lit(False))), id=id_col, text=text_col, held="__held")
     total = text_bytes(source, "text")
