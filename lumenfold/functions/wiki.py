@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The templates that name a card and mark a cell, a table's row marker, and a set's header cell.
-CARD = r"\{\{card\|([^|{}\n]+?)(?:\|[^}]*)?\}\}"
-TICK = "{{cell|tick}}"
+# What opens and closes the template that names a card, the mark of a ticked cell, and what ends a set's code.
+OPEN, CLOSE, TICK, AFTER_CODE = "{{card|", "}}", "{{cell|tick}}", "<br>"
 ROW = r"(?m)^\|-.*$"
-HEAD = r"(?m)^!([A-Z0-9]+)<br>"
 
 
 def _rows(page: Column) -> Column:
@@ -17,16 +15,29 @@ def _rows(page: Column) -> Column:
     return F.transform(F.split(page, ROW), lambda row: F.split(row, r"\r?\n"))
 
 
+def _named(line: Column) -> Column:
+    """The first parameter of a line's first card template; empty without one, or if it isn't closed or holds another."""
+    inner = F.get(F.split(line, r"\Q" + OPEN + r"\E", 2), F.lit(1))
+    name = F.substring_index(F.substring_index(inner, CLOSE, 1), "|", 1)
+    return F.when(inner.contains(CLOSE) & ~name.contains("{"), F.trim(name)).otherwise("")
+
+
 def _card(lines: Column) -> Column:
     """The name in the first card template, or null."""
-    named = F.filter(F.transform(lines, lambda line: F.trim(F.regexp_extract(line, CARD, 1))), lambda name: name != "")
-    return F.get(named, F.lit(0))
+    return F.get(F.filter(F.transform(lines, _named), lambda name: name != ""), F.lit(0))
+
+
+def _codes(page: Column) -> Column:
+    """The sets' codes that a page's header cells begin with, in order."""
+    cells = F.filter(F.split(page, r"\r?\n"), lambda line: line.startswith("!") & line.contains(AFTER_CODE))
+    codes = F.transform(cells, lambda line: F.substring_index(F.substr(line, F.lit(2)), AFTER_CODE, 1))
+    return F.filter(codes, lambda code: code.rlike("^[A-Z0-9]+$"))
 
 
 def _ticked(heads: Column):
     def of(lines: Column) -> Column:
         """(host_set, name) of a row's ticks: columns are counted from the first cell after the one with the card."""
-        first = F.array_position(F.transform(lines, lambda line: line.startswith("|") & line.contains("{{card|")), F.lit(True)).cast("int")
+        first = F.array_position(F.transform(lines, lambda line: line.startswith("|") & line.contains(OPEN)), F.lit(True)).cast("int")
         later = F.filter(lines, lambda line, i: (i >= first) & (line.startswith("|") | line.contains(TICK)))
         cells = F.flatten(F.transform(later, lambda line: F.when(line.startswith("|"), F.split(F.substr(line, F.lit(2)), r"\|\|")).otherwise(F.array(line))))
         marks = F.transform(cells, lambda cell, i: F.struct(F.lower(F.get(heads, i)).alias("host_set"), _card(lines).alias("name"), cell.contains(TICK).alias("tick")))
@@ -41,7 +52,7 @@ def tick_matrix(page: Column) -> Column:
 
     A cell is what stands between bars of a line that begins with one; a ticked line without a bar is a cell as well.
     """
-    heads = F.regexp_extract_all(page, F.lit(HEAD), F.lit(1))
+    heads = _codes(page)
     return F.flatten(F.filter(F.transform(_rows(page), _ticked(heads)), lambda found: found.isNotNull()))
 
 
