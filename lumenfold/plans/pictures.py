@@ -127,17 +127,21 @@ def keypoint_records(spark, sf_dir):
 
 # --- heads ------------------------------------------------------------------------------------------------------------
 
+# A vector on its own class has a sine near 1e-8, known to no more digits than that.
+R4 = lambda c: F.round(c, 4) + 0.0
+S4 = lambda e: f"round({e}, 4) + 0.0"
+
 
 @query(f"""WITH w AS (SELECT label AS class, arg_min(p, vec_id) AS w FROM {PICTURES} WHERE label IS NOT NULL GROUP BY label),
   c AS (SELECT vec_id, label, class, list_cosine_similarity(p, w) AS c FROM {PICTURES} v, w WHERE label IS NOT NULL),
   l AS (SELECT *, 30 * CASE WHEN class <> label THEN c WHEN c > cos(pi() - 0.3) THEN c * cos(0.3) - sqrt(greatest(0, 1 - c * c)) * sin(0.3) ELSE c - sin(pi() - 0.3) * 0.3 END AS logit FROM c)
-  SELECT vec_id, label, {S6('max(c) FILTER (class = label)')} AS cosine, {S6('max(logit) FILTER (class = label)')} AS logit, {S6('30 + ln(sum(exp(logit - 30))) - max(logit) FILTER (class = label)')} AS loss FROM l GROUP BY vec_id, label""")
+  SELECT vec_id, label, {S4('max(c) FILTER (class = label)')} AS cosine, {S4('max(logit) FILTER (class = label)')} AS logit, {S4('30 + ln(sum(exp(logit - 30))) - max(logit) FILTER (class = label)')} AS loss FROM l GROUP BY vec_id, label""")
 def margin_losses(spark, sf_dir):
     """Loss of every vector against classes that stand for their first vector, met in blocks of three classes."""
     vectors = pictures(spark, sf_dir)
     classes = vectors.where("label is not null").groupBy(F.col("label").alias("class")).agg(F.min_by("p", "vec_id").alias("w"))
     found = margin.margin_loss(vectors, classes, id_col="vec_id", label_col="label", vector_col="p", class_col="class", weight_col="w", settings=margin.Settings(classes=3))
-    return found.select("vec_id", "label", *[R6(F.col(c)).alias(c) for c in ("cosine", "logit", "loss")])
+    return found.select("vec_id", "label", *[R4(F.col(c)).alias(c) for c in ("cosine", "logit", "loss")])
 
 
 @query(f"""WITH p AS (SELECT vec_id, (row % 8)::INTEGER AS x, (row // 8)::INTEGER AS y, 30 * p[row + 1] AS z, exp(-((row % 8 - vec_id % 8) ** 2 + (row // 8 - 8 * (vec_id % 5) / 5) ** 2) / 4.5) AS t FROM {PICTURES}, range(64) AS r(row)),
