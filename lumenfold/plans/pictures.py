@@ -18,7 +18,7 @@ query = registrar(REGISTRY)
 R6 = lambda c: F.round(c, 6) + 0.0  # noqa: E731  never a negative zero
 S6 = lambda e: f"round({e}, 6) + 0.0"
 PICTURES = "(SELECT vec_id, label, embedding::DOUBLE[] AS p FROM embeddings WHERE embedding IS NOT NULL)"
-SIDE = F.lit(8)
+SIDE = lambda: F.lit(8)
 
 
 def pictures(spark, sf_dir):
@@ -73,7 +73,7 @@ FRAME = (("0.05 * (vec_id % 4)", "0.03 * (vec_id % 5)"), ("1 - 0.04 * (vec_id %
   SELECT vec_id, place::INTEGER AS place, {S6('sum(CASE WHEN px BETWEEN 0 AND 7 AND py BETWEEN 0 AND 7 THEN weight * p[(py * 8 + px)::INTEGER + 1] ELSE 0 END)')} AS value FROM k GROUP BY vec_id, place""")
 def dewarped_pixels(spark, sf_dir):
     corners = G.quad(*[F.expr(e).cast("double") for xy in FRAME for e in xy])
-    flat = pictures(spark, sf_dir).select("vec_id", pixels.dewarp(F.col("p"), SIDE, SIDE, corners, 5, 6).alias("made"))
+    flat = pictures(spark, sf_dir).select("vec_id", pixels.dewarp(F.col("p"), SIDE(), SIDE(), corners, 5, 6).alias("made"))
     return flat.select("vec_id", F.posexplode("made").alias("place", "value")).select("vec_id", "place", R6(F.col("value")).alias("value"))
 
 
@@ -85,7 +85,7 @@ def dewarped_pixels(spark, sf_dir):
   c AS (SELECT vec_id, string_agg(CASE WHEN v > m THEN '1' ELSE '0' END, '' ORDER BY i, j) AS cosine FROM (SELECT *, median(v) OVER (PARTITION BY vec_id) AS m FROM f) GROUP BY vec_id)
   SELECT vec_id, average, difference, cosine FROM a JOIN d USING (vec_id) JOIN c USING (vec_id)""")
 def picture_hashes(spark, sf_dir):
-    made = lambda kind, size, **options: pixels.picture_hash(F.col("p"), SIDE, SIDE, kind, size, **options).alias(kind)
+    made = lambda kind, size, **options: pixels.picture_hash(F.col("p"), SIDE(), SIDE(), kind, size, **options).alias(kind)
     packed = pictures(spark, sf_dir).select("vec_id", made("average", 8), made("difference", 7), made("cosine", 4, factor=2))
     return packed.select("vec_id", *[pixels.bits_text(F.col(kind), bits).alias(kind) for kind, bits in (("average", 64), ("difference", 49), ("cosine", 16))])
 
@@ -95,7 +95,7 @@ def picture_hashes(spark, sf_dir):
   s AS (SELECT vec_id, var_pop(v) AS score FROM l GROUP BY vec_id)
   SELECT vec_id, {S6('score')} AS score, score >= 0.3 AS kept FROM s""")
 def blur_scores(spark, sf_dir):
-    scored = pictures(spark, sf_dir).select("vec_id", pixels.blur_score(F.col("p"), SIDE, SIDE).alias("score"))
+    scored = pictures(spark, sf_dir).select("vec_id", pixels.blur_score(F.col("p"), SIDE(), SIDE()).alias("score"))
     return scored.select("vec_id", R6(F.col("score")).alias("score"), pixels.sharp_enough(F.col("score"), 0.3).alias("kept"))
 
 
