@@ -57,7 +57,8 @@ def test_slugs_and_ids(spark):
 
 @pytest.mark.parametrize("metric", ["cosine", "dot", "hamming"])
 @pytest.mark.parametrize("exclude", ["none", "self", "class", "others"])
-def test_nearest_by_blocks(spark, metric, exclude):
+@pytest.mark.parametrize("send", [0, 1 << 20])
+def test_nearest_by_blocks(spark, metric, exclude, send):
     rng = np.random.default_rng(5)
     x = np.round(rng.standard_normal((60, 16)), 1)
     x[7] = x[3]
@@ -66,9 +67,20 @@ def test_nearest_by_blocks(spark, metric, exclude):
     df = spark.createDataFrame([(i, x[i].tolist(), classes[i]) for i in range(60)] + [(99, None, 1)], "id long, vector array<double>, class int")
     asked = df.where("id % 5 = 0")
     near = {}
-    for r in sorted(knn.nearest(asked, df, k=4, metric=metric, exclude=exclude, block=13).collect(), key=lambda r: (r.query_id, r["rank"])):
+    for r in sorted(knn.nearest(asked, df, k=4, metric=metric, exclude=exclude, block=13, send=send).collect(), key=lambda r: (r.query_id, r["rank"])):
         near.setdefault(r.query_id, []).append(r.id)
     for q in range(0, 60, 5):
         scores = np.round(knn.similarity(x[q : q + 1], x, metric)[0], 12)
         allowed = [i for i in range(60) if {"none": True, "self": i != q, "class": classes[i] != classes[q], "others": i != q and classes[i] == classes[q]}[exclude]]
         assert near[q] == sorted(allowed, key=lambda i: (-scores[i], i))[:4]
+
+
+@pytest.mark.parametrize("send", [0, 1 << 20])
+def test_nearest_edges(spark, send):
+    df = spark.createDataFrame([("b", [1.0, 0.0, 2.0], None), ("a", [1.0, 0.0, 2.0], "x"), ("c", [1.0, 0.0, 2.0], "x"), (None, [0.0, 1.0, 0.0], "x")], "id string, vector array<float>, class string")
+    got = knn.nearest(df.where("id = 'c'"), df, k=2, metric="hamming", send=send).orderBy("rank").collect()
+    assert [(r.query_id, r.id, r["class"], r.score) for r in got] == [("c", "a", "x", 0.0), ("c", "b", None, 0.0)]
+    assert knn.nearest(df.limit(0), df, send=send).count() == 0 == knn.nearest(df, df.limit(0), send=send).count()
+    ragged = df.unionByName(spark.createDataFrame([("d", [1.0], "x")], df.schema))
+    with pytest.raises(Exception, match="different lengths"):
+        knn.nearest(ragged, ragged, send=send).collect()
