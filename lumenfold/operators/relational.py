@@ -105,6 +105,56 @@ def running_before(df: DataFrame, key: str, order: str, amount: str, width: int
     return found.select(*df.columns, (F.col("__rows") + F.col("__nth")).cast("bigint").alias("n"), (F.col("__sum") + F.col("__own")).cast("bigint").alias("before"))
 
 
+def exact_percentiles(df: DataFrame, keys: list[str], column: str, at: list[float], accuracy: int = 10000) -> DataFrame:
+    """keys, n, and p: the interpolated percentiles of a column in the order asked for; nulls and NaN don't count.
+
+    Sketches of bounded size bracket each percentile; one pass then counts what lies below a bracket and each value within,
+    about 8 / accuracy of a group's rows, of which a window adds up the counts. No task holds the values of a whole group,
+    a group without values gives no row, and a bracket that misses its rank raises.
+    """
+    value, one = F.col("__v"), [F.lit(0).alias("__k")]
+    named = [F.col(k) for k in keys] or one
+    by = keys or ["__k"]
+    rows = df.select(*named, F.col(column).cast("double").alias("__v")).where(value.isNotNull() & ~F.isnan(value))
+    slack = 4 / accuracy
+    edges = sorted({min(1.0, max(0.0, p + d)) for p in at for d in (-slack, slack)})
+    marks = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(value, edges, accuracy).alias("__q"), F.min(value).alias("__min"), F.max(value).alias("__max"))
+    edge = lambda p: F.col("__q")[edges.index(min(1.0, max(0.0, p)))]
+    small = F.col("n") <= accuracy  # a sketch's ranks are too coarse for these
+    span = lambda i, p: F.struct(F.lit(i).alias("i"), F.when(small | (p <= slack), F.col("__min")).otherwise(edge(p - slack)).alias("lo"), F.when(small | (p >= 1 - slack), F.col("__max")).otherwise(edge(p + slack)).alias("hi"), ((F.col("n") - 1) * p).alias("rank"))
+    spans = marks.select(*[F.col(k).alias(f"__{k}") for k in by], "n", F.array(*[span(i, p) for i, p in enumerate(at)]).alias("__spans"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by])
+    near = rows.join(spans, same).select(*by, "n", "__v", F.explode("__spans").alias("s")).where(value <= F.col("s.hi"))
+    counts = near.groupBy(*by, "n", "s.i", "s.rank", F.when(value >= F.col("s.lo"), value).alias("__v")).agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(W.partitionBy(*by, "i").orderBy(F.asc_nulls_first("__v")))
+    held = lambda place: F.max(F.when((F.col("__upto") - F.col("__c") <= place) & (place < F.col("__upto")), value))
+    low, high, part = held(F.floor("rank")), held(F.ceil("rank")), F.max(F.col("rank") - F.floor("rank"))
+    found = counts.withColumn("__upto", upto).groupBy(*by, "n", "i").agg(low.alias("low"), high.alias("high"), part.alias("part"))
+    missed = F.col("low").isNull() | F.col("high").isNull()
+    exact = F.when(missed, F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")).otherwise((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high"))
+    lists = found.select(*by, "n", F.struct("i", exact.alias("p")).alias("r")).groupBy(*by, "n").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    return lists.select(*keys, "n", F.col("r.p").alias("p"))
+
+
+def dense_index(df: DataFrame, column: str, name: str, folder: str, partitions: int | None = None) -> DataFrame:
+    """(column, name): the distinct values that aren't null, numbered from 0 in their order.
+
+    Values are sorted by ranges and written to ``folder``, each with its place in its range, so that a task holds one range
+    only and a range lost is read again as it was; the ranges' sizes, one a range, give where each begins.
+    """
+    spark = df.sparkSession
+    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(count, column).withColumn("__range", F.spark_partition_id())
+    ranged.write.mode("overwrite").parquet(folder)
+    kept = spark.read.schema(ranged.schema).parquet(folder)
+    sizes = kept.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__range", before.alias("__start"))
+    inside = F.row_number().over(W.partitionBy("__range").orderBy(column)) - 1
+    placed = kept.withColumn("__place", inside).join(F.broadcast(starts), "__range")  # a row a range
+    return placed.select(column, (F.col("__start") + F.col("__place")).cast("bigint").alias(name))
+
+
 def topk_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First k rows a group; Spark prunes each partition to k rows before the shuffle."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint")).where(F.col(rank) <= k)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.relational import exact_percentiles
+
 CUTS = (1, 3, 10)
 
 
@@ -30,8 +32,8 @@ def top_lists(found: DataFrame) -> DataFrame:
 
 def percentile_profile(df: DataFrame, column: str, whole: bool) -> DataFrame:
     """Exact percentiles 0, 10, 25, 50, 75, 90, 100, interpolated; bit distances are cut to whole numbers."""
-    at = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
-    values = df.agg(F.percentile(column, list(at)).alias("p"))
+    at = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    values = exact_percentiles(df, [], column, at)
     pick = lambda i: F.col("p")[i].cast("bigint") if whole else F.round(F.col("p")[i], 6)
     return values.select(*[pick(i).alias(f"p{int(q * 100)}") for i, q in enumerate(at)])
 

@@ -9,6 +9,7 @@ from lumenfold.functions import hashing, strings
 from lumenfold.operators import relational as R
 from lumenfold.plans.base import CARDS, FRAMES, VIDEOS, cards, frames, registrar, videos
 from lumenfold.sources import table
+from lumenfold.sources.scratch import scratch
 
 REGISTRY: dict[str, tuple] = {}
 query = registrar(REGISTRY)
@@ -223,11 +224,9 @@ def val_split_override(spark, sf_dir):
 
 @query(f"SELECT card_id, CAST(dense_rank() OVER (ORDER BY set_code) - 1 AS BIGINT) AS label FROM {CARDS} WHERE name <> ''")
 def label_index_dense(spark, sf_dir):
-    """Sorted distinct labels numbered from 0; only the distinct labels are ranked in one place."""
+    """Sorted distinct labels numbered from 0."""
     source = cards(spark, sf_dir).where("name <> ''")
-    from pyspark.sql import Window as W
-
-    labels = source.select("set_code").distinct().withColumn("label", (F.row_number().over(W.orderBy("set_code")) - 1).cast("bigint"))
+    labels = R.dense_index(source, "set_code", "label", scratch(spark, "labels"))
     return source.join(labels, "set_code").select("card_id", "label")
 
 

@@ -98,8 +98,11 @@ def detector_summary(spark, sf_dir):
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
 def latency_summary(spark, sf_dir):
-    v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, 0.5), 6).alias("p50"), F.round(F.percentile(v, 0.95), 6).alias("p95"), F.min(v).alias("least"), F.max(v).alias("most"))
+    v, rows = F.col("value"), table(spark, sf_dir, "events")
+    cuts = R.exact_percentiles(rows, ["event_type"], "value", [0.5, 0.95]).select(F.col("event_type").alias("kind"), "p")
+    sums = rows.groupBy("event_type").agg(F.round(F.avg(v), 6).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"))
+    found = sums.join(cuts, F.col("event_type").eqNullSafe(F.col("kind")), "left")
+    return found.select("event_type", "mean", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"), "least", "most")
 
 
 @query(f"SELECT dist, count(*) AS n, CAST(count_if(dist <= 20) AS BIGINT) AS keep FROM {FRAMES} WHERE dist IS NOT NULL GROUP BY 1")
@@ -110,7 +113,9 @@ def threshold_histogram(spark, sf_dir):
 @query(f"SELECT count(*) AS n, CAST(median(dist) AS DOUBLE) AS middle, min(dist) AS least, max(dist) AS most, count(CASE WHEN line = 1 THEN 1 END) AS reviewed FROM {FRAMES} WHERE dist IS NOT NULL")
 def review_stats(spark, sf_dir):
     rows = frames(spark, sf_dir).where("dist is not null")
-    return rows.agg(F.count("*").alias("n"), F.median("dist").alias("middle"), F.min("dist").alias("least"), F.max("dist").alias("most"), F.count(F.when(F.col("line") == 1, 1)).alias("reviewed"))
+    # bit distances take few values, so that the median is one of a table of counts
+    counts = rows.groupBy("dist").agg(F.count("*").alias("c"), F.count_if(F.col("line") == 1).alias("r"))
+    return counts.agg(F.sum("c").alias("n"), F.percentile("dist", 0.5, F.col("c")).alias("middle"), F.min("dist").alias("least"), F.max("dist").alias("most"), F.coalesce(F.sum("r"), F.lit(0)).alias("reviewed"))
 
 
 @query(f"WITH c AS (SELECT f.card_id % 25 AS grp, f.seq, abs(f.dist - 20) AS gap FROM {FRAMES} f WHERE dist <= 20), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY gap, seq) AS rn FROM c) SELECT grp, seq, gap FROM r ORDER BY CASE WHEN rn > 1 THEN 1 ELSE 0 END, gap, seq LIMIT 40")
@@ -137,7 +142,8 @@ def size_extrapolation(spark, sf_dir):
 def canonical_median_residual(spark, sf_dir):
     """Median of each group, and each copy's mean difference from it."""
     rows = frames(spark, sf_dir).select("video_id", (F.col("card_id") % 50).alias("grp"), "matches")
-    middle = rows.groupBy("grp").agg(F.median("matches").alias("canonical"))
+    counts = rows.where("matches is not null").groupBy("grp", "matches").agg(F.count("*").alias("c"))
+    middle = counts.groupBy("grp").agg(F.percentile("matches", 0.5, F.col("c")).alias("canonical"))
     return rows.join(middle, "grp").groupBy("video_id").agg(F.round(F.avg(F.col("matches") - F.col("canonical")), 6).alias("residual"))
 
 

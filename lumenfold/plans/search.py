@@ -142,7 +142,7 @@ def nn_overlap_pct(spark, sf_dir):
     """Nearest neighbours of another class at or beyond the median distance of those of the same class."""
     near, _ = found(spark, sf_dir, "hamming", k=1, every=1)
     rows = near.select((-F.col("score")).alias("d"), (F.col("class") == F.col("query_class")).alias("same"))
-    middle = rows.where("same").agg(F.median("d").alias("m"))
+    middle = rows.where("same").groupBy("d").agg(F.count("*").alias("c")).agg(F.percentile("d", 0.5, F.col("c")).alias("m"))
     others = rows.where("not same").crossJoin(F.broadcast(middle))  # one row
     return others.agg(F.count("*").alias("others"), F.count_if(F.col("d") >= F.col("m")).alias("beyond"))
 

@@ -84,3 +84,28 @@ def test_nearest_edges(spark, send):
     ragged = df.unionByName(spark.createDataFrame([("d", [1.0], "x")], df.schema))
     with pytest.raises(Exception, match="different lengths"):
         knn.nearest(ragged, ragged, send=send).collect()
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(8)
+    hot = np.concatenate([rng.standard_normal(9000), np.full(4000, 0.25), rng.integers(0, 5, 500)])
+    values = {"hot": hot, "few": np.array([3.0, 1.0, 2.0]), None: np.array([7.0]), "wide": np.exp(rng.standard_normal(5000) * 20)}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("hot", None), ("few", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    at = [0.0, 0.001, 0.1, 0.5, 0.9, 0.999, 1.0]
+    for accuracy in (50, 1000, 10000):
+        got = {r.k: (r.n, r.p) for r in R.exact_percentiles(df, ["k"], "v", at, accuracy).collect()}
+        assert set(got) == set(values)
+        for k, vs in values.items():
+            assert got[k][0] == len(vs)
+            assert np.allclose(got[k][1], np.quantile(vs, at), rtol=1e-9)
+    whole = R.exact_percentiles(df.where("k = 'hot'"), [], "v", [0.5], 100).collect()
+    assert [(r.n, r.p) for r in whole] == [(len(hot), [np.median(hot)])]
+    assert R.exact_percentiles(df.limit(0), [], "v", [0.5]).count() == 0
+
+
+def test_dense_index(spark, tmp_path):
+    words = [f"w{i * 37 % 1000:03d}" for i in range(1000)] * 2 + [None, ""]
+    got = R.dense_index(spark.createDataFrame([(w,) for w in words], "w string"), "w", "n", str(tmp_path / "labels"), 7).collect()
+    assert sorted((r.w, r.n) for r in got) == [(w, i) for i, w in enumerate(sorted({w for w in words if w is not None}))]
+    assert R.dense_index(spark.createDataFrame([], "w string"), "w", "n", str(tmp_path / "none")).count() == 0
