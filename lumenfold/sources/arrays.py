@@ -45,26 +45,74 @@ def read_npz(spark: SparkSession, path: str, ids: str = "card_ids", vectors: str
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ROWS)
 
 
+def _archive(rows: pa.Table, fingerprint: str) -> bytes:
+    """Columns id and v as one compressed archive; the vectors' own buffer is taken as it is."""
+    flat = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    data = io.BytesIO()
+    np.savez_compressed(data, embeddings=flat.astype(np.float32, copy=False).reshape(rows.num_rows, -1), card_ids=np.array(rows["id"].to_pylist(), np.str_), fingerprint=np.str_(fingerprint))
+    return data.getvalue()
+
+
+def _named(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and v is not null")
+
+
 def write_npz(df: DataFrame, path: str, id_col: str, vector_col: str, fingerprint: str = "", most: int = 1 << 20) -> None:
     """One compressed archive for tools outside: ids and vectors in the order of ids, and a fingerprint.
 
-    An archive is one file in one process, so a table of more than ``most`` rows is refused; keep those as Parquet.
+    An archive is one file in one process, so a table of more than ``most`` rows is refused; ``write_npz_parts`` takes those.
     """
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and v is not null").limit(most + 1).toArrow()
+    rows = _named(df, id_col, vector_col).limit(most + 1).toArrow()
     if rows.num_rows > most:
         raise ValueError(f"more than {most} vectors for an archive")
-    rows = rows.sort_by("id")
-    vectors = np.array(rows["v"].to_pylist(), np.float32).reshape(rows.num_rows, -1)
-    data = io.BytesIO()
-    np.savez_compressed(data, embeddings=vectors, card_ids=np.array(rows["id"].to_pylist(), np.str_), fingerprint=np.str_(fingerprint))
     fs, where = _filesystem(df.sparkSession, path)
     out = fs.create(where, True)
     try:
-        out.write(data.getvalue())
+        out.write(_archive(rows.sort_by("id"), fingerprint))
     finally:
         out.close()
 
 
+def write_npz_parts(df: DataFrame, folder: str, id_col: str, vector_col: str, fingerprint: str = "", partitions: int = 200, rows: int = 1 << 16) -> DataFrame:
+    """Archives of at most ``rows`` vectors below a folder, written by the tasks; (file, n) of each.
+
+    The names' order is the order of ids. A task holds one archive's rows; a lost one writes the same files again, and a
+    file has its name only once it is whole. Repeated ids are kept; the folder, a path or URI that Arrow knows, should be new.
+    """
+    schema = pa.schema([("file", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as stores
+        from pyspark import TaskContext
+
+        own = TaskContext.get()
+        store, root = stores.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        held, size, made = [], 0, 0
+
+        def write(part: pa.Table) -> pa.RecordBatch:
+            name = f"part-{own.partitionId():05d}-{made:05d}.npz"
+            draft = f"{root}/.{name}.{own.taskAttemptId()}"
+            with store.open_output_stream(draft) as out:
+                out.write(_archive(part, fingerprint))
+            store.move(draft, f"{root}/{name}")
+            return pa.RecordBatch.from_pydict({"file": [f"{folder.rstrip('/')}/{name}"], "n": [part.num_rows]}, schema=schema)
+
+        for batch in batches:
+            held, size = [*held, batch], size + batch.num_rows
+            while size >= rows:
+                whole = pa.Table.from_batches(held)
+                yield write(whole.slice(0, rows))
+                made += 1
+                held, size = whole.slice(rows).to_batches(), size - rows
+        if size:
+            yield write(pa.Table.from_batches(held))
+
+    ordered = _named(df, id_col, vector_col).repartitionByRange(partitions, "id").sortWithinPartitions("id")
+    done = ordered.mapInArrow(run, "file string, n bigint").toArrow()  # a row a file
+    return df.sparkSession.createDataFrame(done.sort_by("file"), "file string, n bigint")
+
+
 def usable_cache(cache: DataFrame, fingerprint: str, paths: DataFrame) -> DataFrame:
     """Cached vectors that still hold: made under this fingerprint, of a path that is still in the manifest."""
     return cache.where(F.col("fingerprint") == fingerprint).join(paths.select("path").distinct(), "path", "left_semi")

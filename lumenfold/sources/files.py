@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.functions import strings
@@ -60,11 +61,18 @@ def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
 def read_rows(spark: SparkSession, path: str, schema: str, row: str = "row_idx", sep: str = ",") -> DataFrame:
     """A CSV with its rows numbered in the order of the file, as positions pair it with other tables of the same order.
 
-    Lines are numbered from their place in the file, so a field must not hold a line break.
+    Each file is numbered on its own, from 0 behind its header; empty lines count but give no row. Blocks of a file are
+    read by tasks of their own and counted first, so that only one number a block meets the lines. A field must not hold
+    a line break.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("__line", "value"))
-    parsed = lines.where("__line > 0 and value <> ''").select(F.col("__line") - 1, F.from_csv("value", schema, {"sep": sep, "escape": '"'}).alias("r"))
-    return parsed.toDF(row, "r").select(F.col(row).cast("bigint").alias(row), "r.*")
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at")]
+    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("__id"))
+    blocks = lines.groupBy("__file", "__at").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    earlier = W.partitionBy("__file").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    starts = blocks.select("__file", "__at", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    nth = F.col("__start") + F.col("__id") - F.col("__first") - 1
+    numbered = lines.join(starts, ["__file", "__at"]).where((nth >= 0) & (F.col("value") != ""))
+    return numbered.select(nth.alias(row), F.from_csv("value", schema, {"sep": sep, "escape": '"'}).alias("__r")).select(row, "__r.*")
 
 
 def distinct_parents(spark: SparkSession, root: str, glob: str, without: str = "cache") -> DataFrame:

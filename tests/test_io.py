@@ -102,6 +102,28 @@ def test_id_sets_and_rows_in_order(spark, tmp_path):
     assert [(r.row_idx, r.card_id, r.n) for r in got] == [(i, f"c,{i}", i) for i in range(50)]
 
 
+def test_rows_in_order_over_many_blocks(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("card_id,n\n" + "".join(f"{name}{i},{i}\n" + ("\n" if i == 700 else "") for i in range(1500)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = files.read_rows(spark, str(tmp_path / "*.csv"), "card_id string, n int")
+        assert sorted((r.card_id[0], r.row_idx, r.n) for r in got.collect()) == sorted((name, i + (i > 700), i) for name in "ab" for i in range(1500))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_archives_in_parts(spark, tmp_path):
+    df = spark.range(1000).select(F.format_string("k%04d", 999 - F.col("id")).alias("id"), F.array(F.col("id"), F.lit(0.5)).alias("v")).unionByName(spark.createDataFrame([(None, [1.0, 2.0]), ("n", None)], "id string, v array<double>"))
+    where = str(tmp_path / "parts")
+    made = arrays.write_npz_parts(df, where, "id", "v", fingerprint="f1", partitions=3, rows=128).collect()
+    assert sum(r.n for r in made) == 1000 and max(r.n for r in made) == 128
+    got = arrays.read_npz(spark, f"{where}/*.npz").orderBy("file", "position").collect()
+    assert [(r.id, list(r.embedding), r.fingerprint) for r in got] == [(f"k{i:04d}", [999.0 - i, 0.5], "f1") for i in range(1000)]
+    assert arrays.write_npz_parts(df.limit(0), str(tmp_path / "none"), "id", "v").count() == 0
+
+
 def test_parents_and_freshness(spark, tmp_path):
     for name in ("b/1", "a", "cache/x"):
         (tmp_path / name).mkdir(parents=True)
