@@ -384,7 +384,8 @@ def score_texts(df: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
         return pa.table(columns)
 
     by_block = lambda df: df.groupBy("block")
-    summed = lambda blobs, order: blobs.groupBy("bucket").applyInArrow(_merge(order), ANSWERS_SQL)
+    # answers lie by block, so that their union does too, and a block's words and pairs are shuffled once for both their uses
+    summed = lambda blobs, order: blobs.groupBy("bucket").applyInArrow(_merge(order), ANSWERS_SQL).repartition("block")
     words = summed(by_block(dealt).applyInArrow(count_words, BLOBS_SQL), 1)
     pairs = summed(by_block(dealt).cogroup(by_block(words)).applyInArrow(count_pairs, BLOBS_SQL), 2)
     triples = summed(by_block(dealt).cogroup(by_block(pairs)).applyInArrow(count_triples, BLOBS_SQL), 3)
