@@ -4,9 +4,10 @@ Subwords are byte n-grams of lower-cased words with their boundaries, hashed int
 mean of its subwords' embeddings; embeddings and softmax are trained together by stochastic gradient descent in numpy
 on the driver, over a bounded sample of labelled rows whose features (at most one count a bucket, however long the
 text) are computed on the executors. Probabilities are calibrated by a temperature on a part of the sample that training
-doesn't see. The same part sets two bounds of rejection: on the probability, and on the share of subwords that are new
-to the model, which tells junk and texts of other languages however sure the softmax is of them. As the softmax is linear, each bucket's contribution to the logits is a fixed
-vector, so that prediction is one gather and sum over the whole text.
+doesn't see. The same part sets two bounds of rejection at a named rate: on the probability, and on the share of
+subwords of three bytes that are usual in the predicted language, which tells junk and texts of other languages however sure the softmax
+is of them. Both are set for texts of which a stated part is words that nobody has learnt. As the softmax is linear,
+each bucket's contribution to the logits is a fixed vector, so that prediction is one gather and sum over the whole text.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from lumenfold.llm.common import narrow, release, released
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
 ORDERS = (2, 3, 4)
+JUDGED = 3  # the order that familiarity is told by: pairs of bytes occur in junk too, four are too rare
 SEGMENT = 1 << 20
 # every byte that is an ASCII letter or belongs to a longer UTF-8 sequence stays; others part words
 PARTS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -34,21 +36,22 @@ PARTS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 class Settings:
     """``sample`` labelled rows a language, chosen by a hash of their id, are learnt from: the one bound here.
 
-    ``reject_share``: quantile of held-out texts that rejection starts from. ``run``: subwords that one new word brings;
-    ``tails``: standard deviations of slack for them, in a text of ``varied`` subwords at most.
+    A subword is usual in a language if it makes up at least ``usual`` of its texts. ``reject_share``: the part of
+    held-out texts that may be rejected for its subwords when ``unlearnt`` of each is words without one usual subword;
+    ``unsure_share``: the same for the probability.
     """
 
-    bits: int = 16
+    bits: int = 17
     dim: int = 16
     sample: int = 500
     epochs: int = 12
     rate: float = 8.0
     batch: int = 16
     calibration: float = 0.2
-    reject_share: float = 0.001
-    run: int = 10
-    tails: float = 6.4
-    varied: int = 400
+    reject_share: float = 0.01
+    unsure_share: float = 0.001
+    usual: float = 1e-4
+    unlearnt: float = 0.6
     seed: int = 7
 
 
@@ -59,19 +62,29 @@ class LanguageModel:
     bias: np.ndarray
     threshold: float
     bits: int
-    new: np.ndarray  # whether training didn't see a bucket
-    novelty: float  # the largest share of new subwords in held-out texts; 1: unknown, nothing is rejected for it
-    slack: float  # tails ** 2 * run
-    varied: int  # subwords beyond which a text may repeat itself, so that its share gets no surer
+    familiar: np.ndarray  # bucket x language: whether the subword is usual in the language
+    floor: float  # the least share of usual ones in the judged order; 0: unknown, nothing is rejected for it
 
-    def strange(self, fresh: int, count: int) -> bool:
-        """Whether so many of a text's subwords are new that no text like the held-out ones explains it."""
-        u = self.novelty
-        return count > 0 and fresh / count > u + (self.slack * u * (1 - u) / min(count, self.varied)) ** 0.5
+    @property
+    def new(self) -> np.ndarray:
+        """Whether a bucket is usual in no language."""
+        found = ~self.familiar.any(axis=1)
+        found[0] = False
+        return found
 
+    def strange(self, usual: int, asked: int) -> bool:
+        """Whether too few are usual; one standard deviation of so many draws is allowed for, as short texts vary."""
+        u = self.floor
+        return asked > 0 and usual / asked < u - (u * (1 - u) / asked) ** 0.5
 
-def buckets(text: bytes, bits: int) -> Iterator[np.ndarray]:
-    """Bucket numbers of all subwords (0: none here), for each order, by segments of long texts."""
+
+def judged(bucket: np.ndarray) -> np.ndarray:
+    """Even buckets, but for the empty one, are those of the judged order."""
+    return (bucket > 0) & (bucket % 2 == 0)
+
+
+def buckets(text: bytes, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Orders and bucket numbers of all subwords (0: none here), by segments of long texts."""
     padded = b" " + text.translate(PARTS) + b" "
     for at in range(0, len(padded), SEGMENT):
         again = min(at, max(ORDERS) - 1)  # bytes of the segment before, in which no subword ends anew
@@ -85,19 +98,20 @@ def buckets(text: bytes, bits: int) -> Iterator[np.ndarray]:
             for i in range(1, n):
                 key = (key << np.uint32(8)) | a[i : i + m] if n <= 4 else key * np.uint32(257) + a[i : i + m]
             key = (key * np.uint32(0x9E3779B1)) ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)
-            key = ((key ^ (key >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)
+            key = ((key ^ (key >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(33 - bits)
+            key = (key << np.uint32(1)) | np.uint32(n != JUDGED)
             valid = letter[1 : 1 + m] if n > 2 else letter[:m] | letter[1 : 1 + m]
             if n > 3:
                 valid = valid & letter[2 : 2 + m]
-            found = np.where(valid, np.maximum(key, 1), 0)
+            found = np.where(valid, np.where(key > 0, key, 2), 0)
             found[: max(0, again - n + 1)] = 0
-            yield found
+            yield n, found
 
 
 def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and their counts over the whole text."""
     counts = np.zeros(1 << bits, np.int64)
-    for found in buckets(text.lower().encode(errors="ignore"), bits):
+    for _, found in buckets(text.lower().encode(errors="ignore"), bits):
         counts += np.bincount(found, minlength=1 << bits)
     counts[0] = 0
     ids = np.flatnonzero(counts)
@@ -139,18 +153,24 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings) -> L
     logits = table @ soft
     scores = [(data[i][0], data[i][2] @ logits[data[i][1]] + bias) for i in sorted(held)]
     heat = _temperature(scores)
-    best = [_softmax(z / heat).max() for _, z in scores]
-    # half-way to chance: the least sure of the sample isn't the least sure of all clean texts
-    threshold = (float(np.quantile(best, settings.reject_share)) + 1 / n) / 2 if best else 0.0
-    new = np.ones(size, bool)
+    learnt = 1 - settings.unlearnt
+    best = [_softmax((learnt * (z - bias) + bias) / heat).max() for _, z in scores]  # unlearnt words add nothing
+    # a quarter of the way from chance: a text of a word or two is far less sure than the least sure of the sample
+    threshold = (float(np.quantile(best, settings.unsure_share)) + 3 / n) / 4 if best else 0.0
+    spread = np.zeros((size, n))
     for i in train:
-        new[data[i][1]] = False
-    new[0] = False
-    shares = [float(rows[i][2][new[rows[i][1]]].sum() / max(1, rows[i][2].sum())) for i in held]
-    novelty = max(0.01, *shares) if shares else 1.0
+        spread[data[i][1], data[i][0]] += data[i][2]
+    familiar = spread >= settings.usual * np.maximum(1, np.bincount([data[i][0] for i in train], minlength=n)) if train else spread > 0
+    familiar[0] = False
+    shares = []
+    for i, (_, z) in zip(sorted(held), scores, strict=True):
+        ids, w = data[i][1:]
+        if total := float(w[judged(ids)].sum()):
+            shares.append(float(w[judged(ids)] @ familiar[ids[judged(ids)], np.argmax(z)]) / total)
+    floor = learnt * float(np.quantile(shares, settings.reject_share)) if shares else 0.0
     logits = (logits / heat).astype(np.float32)
     logits[0] = 0
-    return LanguageModel(languages if rows else (), logits, (bias / heat).astype(np.float32), threshold, settings.bits, new, novelty, settings.tails**2 * settings.run, settings.varied)
+    return LanguageModel(languages if rows else (), logits, (bias / heat).astype(np.float32), threshold, settings.bits, familiar, floor)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -206,16 +226,19 @@ def predict(model: LanguageModel, texts: Sequence[str | None]) -> tuple[list[str
             names.append(UNDETERMINED)
             rejected.append(True)
             continue
-        total, count, fresh = np.zeros(len(model.languages)), 0, 0
-        for found in buckets(text.lower().encode(errors="ignore"), model.bits):
+        total, count = np.zeros(len(model.languages)), 0
+        usual, asked = np.zeros(len(model.languages), np.int64), 0
+        for n, found in buckets(text.lower().encode(errors="ignore"), model.bits):
             total += model.logits[found].sum(axis=0, dtype=np.float64)
             count += np.count_nonzero(found)
-            fresh += np.count_nonzero(model.new[found])
+            if n == JUDGED:
+                usual += np.count_nonzero(model.familiar[found], axis=0)
+                asked += np.count_nonzero(found)
         p = _softmax(total / max(1, count) + model.bias)
         best = int(p.argmax())
         names.append(model.languages[best])
         scores[i] = p[best]
-        rejected.append(bool(p[best] < model.threshold or model.strange(fresh, count)))
+        rejected.append(bool(p[best] < model.threshold or model.strange(usual[best], asked)))
     return names, scores, rejected
 
 

@@ -93,3 +93,43 @@ def test_sample_is_500_rows_a_language(spark, monkeypatch):
 def test_numerals_are_no_letters():
     model = langid.fit([("en", *langid.features("the cat", 12))], langid.Settings(bits=12))
     assert langid.predict(model, ["½ ² ① Ⅷ", "12_3", "é"])[0] == ["und", "und", "en"]
+
+
+def test_fixture_model_keeps_ordinary_texts(spark):
+    """Learnt from the fixture, whose words are made up of syllables, so that most words of real texts are unlearnt."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs.where("pmod(crc32(cast(doc_id as string)), 4) <> 2"))
+    ordinary = {
+        "We hold these truths to be self-evident, that all men are created equal, that they are endowed by their Creator with certain unalienable Rights": "en",
+        "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt": "de",
+        "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia": "es",
+        "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience": "fr",
+    }
+    names, _, rejected = langid.predict(model, list(ordinary))
+    assert names == list(ordinary.values()) and not any(rejected)
+    rng = random.Random(35)
+    junk = [
+        "deadbeef 0a1b2c3d4e5f aabbccdd",
+        " ".join(f"{rng.getrandbits(64):016x}" for _ in range(40)),
+        "for (int i = 0; i < n; ++i) { ptr->next = malloc(sizeof(struct node)); if (!ptr) goto err; }",
+        "SGVsbG8gd29ybGQhIFRoaXMgaXMgYSB0ZXN0 QmFzZTY0IGVuY29kZWQgc3RyaW5ncyBhcmUganVuaw",
+        "Все счастливые семьи похожи друг на друга",
+        "吾輩は猫である。名前はまだ無い。",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+    ]
+    assert all(langid.predict(model, junk)[2])
+    assert not any(r.rejected for r in langid.identify(docs.where("text is not null and lang is not null"), model).collect())
+
+
+def test_rate_of_false_rejections(spark):
+    """Held-out texts with up to half of their subwords replaced by unlearnt ones stay, but for about the named rate."""
+    rng = random.Random(36)
+    rows = [(i, sentence(rng, lang := list(SPOKEN)[i % 4], rng.randrange(20, 60)), lang) for i in range(1600)]
+    model = langid.train(spark.createDataFrame(rows[:1200], "doc_id long, text string, lang string"))
+    masked = []
+    for _, text, _ in rows[1200:]:
+        words, size = text.split(" "), 3 * len(text) + len(text.split())
+        while sum(3 * len(w) for w in words[len(text.split()):]) < 0.4 * size:
+            words.append("".join(rng.choice("жщфюцчш") for _ in range(3)))
+        masked.append(" ".join(words))
+    assert sum(langid.predict(model, masked)[2]) <= 0.01 * len(masked)
