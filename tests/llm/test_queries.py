@@ -48,3 +48,14 @@ def test_every_embedding_is_a_picture(spark, duck):
     got = [r.picture_id for r in QUERIES["op6_picture_copies"](spark, SMALL).collect()]
     ids = [i for (i,) in duck.execute("SELECT vec_id FROM embeddings").fetchall()]
     assert sorted(got) == sorted([*ids, *(-1 - i for i in ids if i % 20 == 0)])
+
+
+def test_ranked_lines_equal_sql_by_value(spark, duck):
+    """Whole numbers and nulls as they are; a pandas column of numbers with nulls would hold floats on one side only."""
+    got, want = QUERIES["op12_rank_lines"](spark, SMALL), duck.execute(ORACLE_SQL["op12_rank_lines"])
+    columns = sorted(got.columns)
+    places = [[d[0] for d in want.description].index(c) for c in columns]
+    order = lambda rows: sorted(rows, key=lambda r: [(x is None, x or 0) for x in r])
+    rows = order(tuple(r[c] for c in columns) for r in got.collect())
+    assert rows and all(x is None or type(x) is int for r in rows for x in r)
+    assert rows == order(tuple(r[i] for i in places) for r in want.fetchall())
