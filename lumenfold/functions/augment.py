@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenfold.functions import geometry as G
+from lumenfold.functions.binding import let
 
 
 def uniform(key: Column, name: str, low: float | Column = 0.0, high: float | Column = 1.0) -> Column:
@@ -27,10 +28,13 @@ def turned(corners: Column, key: Column) -> Column:
 
     Pictures without corners (null) are always turned; an angle of half a degree or less is left out.
     """
-    degrees = uniform(key, "degrees", 0.0, 360.0)
-    moved = G.rotate_points(corners, degrees, 0.5, 0.5)
-    fine = (degrees > 0.5) & F.coalesce(_inside(moved), F.lit(True))
-    return F.struct(degrees.alias("degrees"), fine.alias("applied"), F.when(fine, moved).otherwise(corners).alias("corners"))
+
+    def judged(degrees: Column, moved: Column) -> Column:
+        return F.struct(degrees.alias("degrees"), moved.alias("moved"), ((degrees > 0.5) & F.coalesce(_inside(moved), F.lit(True))).alias("fine"))
+
+    drawn = let(uniform(key, "degrees", 0.0, 360.0), lambda d: F.struct(d.alias("degrees"), G.rotate_points(corners, d, 0.5, 0.5).alias("moved")))
+    chosen = let(drawn, lambda t: judged(t["degrees"], t["moved"]))
+    return let(chosen, lambda t: F.struct(t["degrees"].alias("degrees"), t["fine"].alias("applied"), F.when(t["fine"], t["moved"]).otherwise(corners).alias("corners")))
 
 
 def tilted(corners: Column, key: Column, width: int, height: int, least: float = 0.05, most: float = 0.35) -> Column:
@@ -60,5 +64,6 @@ def crop_box(key: Column, least: float = 0.6) -> list[Column]:
 def cropped(corners: Column, box: list[Column]) -> Column:
     """array of struct(x, y, visible): corners in shares of the crop, and whether they lie in it."""
     x, y, w, h = box
-    shift = lambda p: G.point((p["x"] - x) / w, (p["y"] - y) / h)
-    return F.transform(F.transform(corners, shift), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), (p["x"].between(0.0, 1.0) & p["y"].between(0.0, 1.0)).alias("visible")))
+    bounds = F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+    shifted = let(bounds, lambda b: F.transform(corners, lambda p: G.point((p["x"] - b["x"]) / b["w"], (p["y"] - b["y"]) / b["h"])))
+    return F.transform(shifted, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), (p["x"].between(0.0, 1.0) & p["y"].between(0.0, 1.0)).alias("visible")))

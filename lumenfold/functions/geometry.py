@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lumenfold.functions.binding import let
+
 
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -139,8 +141,9 @@ def to_pixels(q: Column, width: float, height: float) -> Column:
 
 def rotate_points(q: Column, degrees: Column, cx: float, cy: float) -> Column:
     """Counter-clockwise in image space (y down) about a centre, not clipped."""
-    a = F.radians(degrees)
-    return F.transform(q, lambda p: point(cx + (p["x"] - cx) * F.cos(a) + (p["y"] - cy) * F.sin(a), cy - (p["x"] - cx) * F.sin(a) + (p["y"] - cy) * F.cos(a)))
+    turn = let(F.radians(degrees), lambda a: F.struct(F.cos(a).alias("c"), F.sin(a).alias("s")))
+    move = lambda c, s: F.transform(q, lambda p: point(cx + (p["x"] - cx) * c + (p["y"] - cy) * s, cy - (p["x"] - cx) * s + (p["y"] - cy) * c))
+    return let(turn, lambda t: move(t["c"], t["s"]))
 
 
 def square_to_quad(q: Column) -> list[Column]:

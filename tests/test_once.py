@@ -16,3 +16,8 @@ def plan(spark, name: str) -> str:
 def test_wiki_pages_are_read_once(spark):
     """The header's codes of a page are found once, not for each cell."""
     assert "transform(array(filter(" in plan(spark, "wiki_tick_matrix")
+
+
+def test_draws_are_made_once(spark):
+    """Five draws a row; the crop's size is needed for its place too."""
+    assert plan(spark, "augmented_corners").count("md5") <= 12
