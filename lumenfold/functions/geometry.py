@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -151,11 +151,20 @@ def square_to_quad(q: Column) -> list[Column]:
 
     Null where the last three points stand on one line.
     """
+    return _entries(q, *_bent(q))
+
+
+def _bent(q: Column) -> tuple[Column, Column]:
+    """The matrix' first two entries of its last row."""
     x, y = [q[i]["x"] for i in range(4)], [q[i]["y"] for i in range(4)]
     ax, ay, bx, by = x[1] - x[2], y[1] - y[2], x[3] - x[2], y[3] - y[2]
     sx, sy = x[0] - x[1] + x[2] - x[3], y[0] - y[1] + y[2] - y[3]
     det = F.nullif(ax * by - bx * ay, F.lit(0.0))
-    g, h = (sx * by - bx * sy) / det, (ax * sy - sx * ay) / det
+    return (sx * by - bx * sy) / det, (ax * sy - sx * ay) / det
+
+
+def _entries(q: Column, g: Column, h: Column) -> list[Column]:
+    x, y = [q[i]["x"] for i in range(4)], [q[i]["y"] for i in range(4)]
     return [x[1] - x[0] + g * x[1], x[3] - x[0] + h * x[3], x[0], y[1] - y[0] + g * y[1], y[3] - y[0] + h * y[3], y[0], g, h, F.lit(1.0)]
 
 
@@ -174,6 +183,18 @@ def quad_to_quad(source: Column, target: Column) -> list[Column]:
     return [c / F.nullif(whole[8], F.lit(0.0)) for c in whole]
 
 
+def with_quad_to_quad(rows: DataFrame, source: Column, target: Column) -> DataFrame:
+    """Rows with the map of ``quad_to_quad`` as h0 to h8, made in steps of plain columns, each of which is evaluated once."""
+    sides = {"s": source, "t": target}
+    made = rows.select("*", *[q[i][c].alias(f"_{n}{c}{i}") for n, q in sides.items() for i in range(4) for c in "xy"])
+    flat = {n: quad(*[F.col(f"_{n}{c}{i}") for i in range(4) for c in "xy"]) for n in sides}
+    made = made.select("*", *[e.alias(f"_{n}{m}") for n, q in flat.items() for m, e in zip("gh", _bent(q), strict=True)])
+    made = made.select("*", *[e.alias(f"_{n}{i}") for n, q in flat.items() for i, e in enumerate(_entries(q, F.col(f"_{n}g"), F.col(f"_{n}h")))])
+    inverse, to = _adjugate([F.col(f"_s{i}") for i in range(9)]), [F.col(f"_t{i}") for i in range(9)]
+    made = made.select(*rows.columns, *[e.alias(f"_w{i}") for i, e in enumerate(_product(to, inverse))])
+    return made.select(*rows.columns, *[(F.col(f"_w{i}") / F.nullif(F.col("_w8"), F.lit(0.0))).alias(f"h{i}") for i in range(9)])
+
+
 def apply_homography(q: Column, h: list[Column]) -> Column:
     """Points under a row-major 3 x 3 matrix."""
     return F.transform(q, lambda p: point((h[0] * p["x"] + h[1] * p["y"] + h[2]) / (h[6] * p["x"] + h[7] * p["y"] + h[8]), (h[3] * p["x"] + h[4] * p["y"] + h[5]) / (h[6] * p["x"] + h[7] * p["y"] + h[8])))

@@ -40,8 +40,8 @@ SQUARE_SQL = """
 def homography_four_points(spark, sf_dir):
     target = G.quad(*[F.expr(e).cast("double") for xy in CORNERS for e in xy])
     source = G.quad(*[F.lit(float(c)) for c in (0, 0, 63, 0, 63, 87, 0, 87)])
-    h = G.quad_to_quad(source, F.col("target"))
-    return boxes(spark, sf_dir).select("id", target.alias("target")).select("id", *[R6(h[i]).alias(f"h{i}") for i in range(8)])
+    made = G.with_quad_to_quad(boxes(spark, sf_dir).select("id", target.alias("target")), source, F.col("target"))
+    return made.select("id", *[R6(F.col(f"h{i}")).alias(f"h{i}") for i in range(8)])
 
 
 PLANTED = ("1 + 0.01 * (s % 5)", "0.02 * (s % 3)", "3.0 * (s % 7)", "-0.015 * (s % 4)", "0.95 + 0.01 * (s % 6)", "2.0 * (s % 5)", "0.0001 * (s % 3)", "0.00005 * (s % 4)")

@@ -21,3 +21,13 @@ def test_wiki_pages_are_read_once(spark):
 def test_draws_are_made_once(spark):
     """Five draws a row; the crop's size is needed for its place too."""
     assert plan(spark, "augmented_corners").count("md5") <= 12
+
+
+def test_maps_are_made_in_steps(spark):
+    from lumenfold.functions import geometry as G
+
+    assert len(plan(spark, "homography_four_points")) < 60_000
+    places = [F.lit(float(c)) for c in (0, 0, 63, 0, 63, 87, 0, 87)], [F.lit(c) for c in (0.1, 0.2, 0.9, 0.1, 0.8, 0.7, 0.2, 0.9)]
+    source, target = (G.quad(*p) for p in places)
+    row = G.with_quad_to_quad(spark.range(1).select("id", target.alias("t")), source, F.col("t")).first()
+    assert [row[f"h{i}"] for i in range(9)] == list(spark.range(1).select(*[c.alias(f"h{i}") for i, c in enumerate(G.quad_to_quad(source, target))]).first())
