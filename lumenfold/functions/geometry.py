@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -248,14 +247,20 @@ def _polygon_ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(shared, union, out=np.zeros(len(a)), where=union > 0)
 
 
-@F.pandas_udf(DoubleType())
-def polygon_iou(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _corners(quads: pa.Array) -> np.ndarray:
+    """n x 4 x 2; null coordinates are NaN."""
+    points = quads.flatten()
+    if len(points) != 4 * len(quads) or not pa.compute.all(pa.compute.equal(pa.compute.list_value_length(quads), 4)).as_py():
+        raise ValueError("quadrilaterals have four corners")
+    x, y = (pa.compute.struct_field(points, n).to_numpy(zero_copy_only=False) for n in ("x", "y"))
+    return np.stack([x, y], axis=1).astype(float).reshape(-1, 4, 2)
+
+
+@F.arrow_udf(DoubleType())
+def polygon_iou(a: pa.Array, b: pa.Array) -> pa.Array:
     """Exact intersection over union of convex quadrilaterals; null for null."""
-    for a, b in batches:
-        out = pd.Series(np.nan, index=a.index, dtype="float64").astype("Float64")
-        whole = (a.notna() & b.notna()).to_numpy()
-        if whole.any():
-            p, q = (np.array([(v["x"], v["y"]) for s in side[whole] for v in s], float).reshape(-1, 4, 2) for side in (a, b))
-            out[whole] = _polygon_ious(p, q)
-        out[~whole] = pd.NA
-        yield out
+    whole = pa.compute.and_(a.is_valid(), b.is_valid())
+    out, rows = np.zeros(len(a)), whole.to_numpy(zero_copy_only=False)
+    if rows.any():
+        out[rows] = _polygon_ious(_corners(a.filter(whole)), _corners(b.filter(whole)))
+    return pa.array(out, pa.float64(), mask=~rows)

@@ -31,3 +31,13 @@ def test_maps_are_made_in_steps(spark):
     source, target = (G.quad(*p) for p in places)
     row = G.with_quad_to_quad(spark.range(1).select("id", target.alias("t")), source, F.col("t")).first()
     assert [row[f"h{i}"] for i in range(9)] == list(spark.range(1).select(*[c.alias(f"h{i}") for i, c in enumerate(G.quad_to_quad(source, target))]).first())
+
+
+def test_polygons_travel_as_arrays():
+    import pyarrow as pa
+
+    from lumenfold.functions import geometry as G
+
+    square = lambda x: [{"x": x + dx, "y": dy} for dx, dy in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]
+    found = G.polygon_iou.func(pa.array([square(0.0), None, square(0.0)]), pa.array([square(0.5), square(0.0), square(0.0)])).to_pylist()
+    assert abs(found[0] - 1 / 3) < 1e-12 and found[1:] == [None, 1.0]
