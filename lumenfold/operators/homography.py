@@ -4,21 +4,25 @@
    matches, solved as one batch over groups and hypotheses. Those with the most sampled inliers go on.
 2. All matches of a group vote for its hypotheses; votes are counted before they are shuffled.
 3. The winner's inliers give the map of least algebraic error: normalised direct linear transform. Its normal matrix
-   is a sum over inliers, so it is summed like any aggregate, and only its 45 different entries a group reach the solver.
+   is made of 24 sums over inliers, taken in the frame of the sampled ones; the solver moves them to the frame of all.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.pixels import square_to_quads
+from lumenfold.sources.scratch import scratch
 
 
 @dataclass(frozen=True)
@@ -47,32 +51,49 @@ def four_point_maps(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def _misses(maps: np.ndarray, points: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Distances (maps x points) between mapped points and their targets; NaN maps miss by infinity."""
-    u, v, w = np.moveaxis(maps @ np.concatenate([points, np.ones((len(points), 1))], axis=1).T, 1, 0)
+    moved = maps.reshape(-1, 3) @ np.concatenate([points, np.ones((len(points), 1))], axis=1).T
+    u, v, w = np.moveaxis(moved.reshape(-1, 3, len(points)), 1, 0)
     with np.errstate(all="ignore"):
-        far = np.hypot(u / w - target[:, 0], v / w - target[:, 1])
+        u, v = u / w - target[:, 0], v / w - target[:, 1]
+        far = np.sqrt(u * u + v * v)
     return np.where(np.isfinite(far), far, np.inf)
 
 
+def _frames(points: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Centre and factor to a mean squared distance of 2 from it (n x 3) of each row's chosen points."""
+    share = inside / np.maximum(inside.sum(axis=1, keepdims=True), 1)
+    centre = share @ points
+    spread = (share * ((points[None] - centre[:, None]) ** 2).sum(axis=2)).sum(axis=1)
+    return np.column_stack([centre, np.sqrt(2 / np.where(spread > 0, spread, 2))])
+
+
 def _proposed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """The ``voted`` best maps of each sample, and frames of their inliers."""
     for batch in batches:
-        numbers, maps = [], []
-        for group, rows in zip(batch.column("key").to_pylist(), batch.column("matches").to_pylist(), strict=True):
-            m = np.array([(r["x"], r["y"], r["u"], r["v"]) for r in rows], np.float64)
+        keys, maps, frames = [], [], []
+        listed = batch.column("matches")
+        ends = listed.offsets.to_numpy() - listed.offsets[0].as_py()
+        flat = listed.flatten()
+        whole = np.column_stack([pc.struct_field(flat, n).to_numpy(zero_copy_only=False) for n in "xyuv"])
+        for group, start, end in zip(batch.column("key").to_pylist(), ends[:-1], ends[1:], strict=True):
+            m = whole[start:end]
             if len(m) < 4:
-                numbers.append([])
-                maps.append([])
                 continue
             rng = np.random.default_rng([s.seed, zlib.crc32(group.encode())])
             # four different matches a hypothesis: the first places of a random order each
             chosen = np.argpartition(rng.random((s.hypotheses, len(m))), 3, axis=1)[:, :4]
             made = four_point_maps(m[chosen, :2], m[chosen, 2:])
-            votes = (_misses(made, m[:, :2], m[:, 2:]) <= s.within).sum(axis=1)
+            inside = _misses(made, m[:, :2], m[:, 2:]) <= s.within
+            votes = inside.sum(axis=1)
             best = np.lexsort([np.arange(len(votes)), -votes])[: s.voted]
             best = best[np.isfinite(made[best]).all(axis=(1, 2))]
-            numbers.append(list(range(len(best))))
+            if not len(best):
+                continue
+            keys.append(group)
             maps.append(made[best].reshape(-1, 9).tolist())
-        kinds = pa.list_(pa.int32()), pa.list_(pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(numbers, kinds[0]), pa.array(maps, kinds[1])], names=["key", "number", "map"])
+            frames.append(np.concatenate([_frames(m[:, :2], inside[best]), _frames(m[:, 2:], inside[best])], axis=1).tolist())
+        numbers = pa.list_(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(maps, numbers), pa.array(frames, numbers)], names=["key", "maps", "frames"])
 
 
 def _mapped(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
@@ -86,22 +107,45 @@ def _miss(h: Column) -> Column:
     return F.sqrt((u - F.col("u")) ** 2 + (v - F.col("v")) ** 2)
 
 
+PRODUCTS = ("pp", "pq", "p", "qq", "q", "")  # of the points: the upper half of a symmetric matrix
+WEIGHTS = ("", "r", "t", "w")  # each product by: 1, a target's two coordinates, the sum of their squares
+
+
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    upper = np.triu_indices(9)
+    """Maps from sums over inliers in a frame near their own; the sums are moved to the inliers' own frame first."""
+    upper = np.triu_indices(3)
     for batch in batches:
-        get = lambda c, batch=batch: batch.column(c).to_numpy(zero_copy_only=False)
-        normal = np.zeros((batch.num_rows, 9, 9))
-        normal[:, upper[0], upper[1]] = np.stack([get(f"n{i}") for i in range(45)], axis=1)
-        normal = normal + np.triu(normal, 1).transpose(0, 2, 1)
-        _, vectors = np.linalg.eigh(normal)
-        h = vectors[:, :, 0].reshape(-1, 3, 3)
-        one, zero = np.ones(batch.num_rows), np.zeros(batch.num_rows)
+        n, one, zero = batch.num_rows, np.ones(batch.num_rows), np.zeros(batch.num_rows)
+        cx, cy, kx, cu, cv, ku = batch.column("frame").flatten().to_numpy(zero_copy_only=False).reshape(n, 6).T
+        matrix = {}
+        for weight in WEIGHTS:
+            m = np.zeros((n, 3, 3))
+            m[:, upper[0], upper[1]] = np.stack([batch.column(f"n{weight}_{product}").to_numpy(zero_copy_only=False) for product in PRODUCTS], axis=1)
+            matrix[weight] = m + np.triu(m, 1).transpose(0, 2, 1)
         frame = lambda cx, cy, k: np.stack([np.stack([k, zero, -k * cx], 1), np.stack([zero, k, -k * cy], 1), np.stack([zero, zero, one], 1)], 1)
-        h = np.linalg.inv(frame(get("cu"), get("cv"), get("ku"))) @ h @ frame(get("cx"), get("cy"), get("kx"))
+        plain, r, t, w = (matrix[weight] for weight in WEIGHTS)
         with np.errstate(all="ignore"):
+            count = plain[:, 2, 2]
+            x, y, u, v = plain[:, 0, 2] / count, plain[:, 1, 2] / count, r[:, 2, 2] / count, t[:, 2, 2] / count
+            k = np.sqrt(2 / ((plain[:, 0, 0] + plain[:, 1, 1]) / count - x * x - y * y))
+            j = np.sqrt(2 / (w[:, 2, 2] / count - u * u - v * v))
+            own = frame(x, y, k)
+            moved = lambda m: own @ m @ own.transpose(0, 2, 1)
+            u, v, j = (c[:, None, None] for c in (u, v, j))
+            w = moved(j * j * (w - 2 * u * r - 2 * v * t + (u * u + v * v) * plain))
+            r, t, plain = moved(j * (r - u * plain)), moved(j * (t - v * plain)), moved(plain)
+            blank = np.zeros((n, 3, 3))
+            normal = np.block([[plain, blank, -r], [blank, plain, -t], [-r, -t, w]])
+            fine = np.isfinite(normal).all(axis=(1, 2))
+            _, vectors = np.linalg.eigh(np.where(fine[:, None, None], normal, 0))
+            h = vectors[:, :, 0].reshape(-1, 3, 3)
+            source = own @ frame(cx, cy, kx)
+            target = frame(u[:, 0, 0], v[:, 0, 0], j[:, 0, 0]) @ frame(cu, cv, ku)
+            fine &= np.isfinite(source).all(axis=(1, 2)) & np.isfinite(target).all(axis=(1, 2))
+            h = np.linalg.inv(np.where(fine[:, None, None], target, np.eye(3))) @ h @ source
             h = (h / h[:, 2:, 2:]).reshape(-1, 9)
-        fine = np.isfinite(h).all(axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([r if ok else None for r, ok in zip(h.tolist(), fine, strict=True)], pa.list_(pa.float64()))], names=["key", "h"])
+        fine &= np.isfinite(h).all(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([row if ok else None for row, ok in zip(h.tolist(), fine, strict=True)], pa.list_(pa.float64()))], names=["key", "h"])
 
 
 def fit_homographies(matches: DataFrame, group: str, x: Column, y: Column, u: Column, v: Column, settings: Settings = Settings()) -> DataFrame:
@@ -111,36 +155,42 @@ def fit_homographies(matches: DataFrame, group: str, x: Column, y: Column, u: Co
     of fewer than ``least`` matches or inliers, or whose points allow no map, has a null h and its other columns still:
     inliers 0 and miss null. Repeated matches count each. The same matches give the same map in any partitioning.
     """
-    s = settings
-    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    s, spark = settings, matches.sparkSession
+    where = scratch(spark, "homographies")
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        """One row a group, of known size: no step is done twice, and small tables are sent instead of shuffling all matches."""
+        df.write.parquet(f"{where}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{where}/{name}")
+
     kind = matches.schema[group].dataType
     rows = matches.select(F.col(group).alias("group"), *[c.cast("double").alias(n) for n, c in (("x", x), ("y", y), ("u", u), ("v", v))])
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("group").cast("string")), F.lit("")))
-    fine = rows.where(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("u")) & finite(F.col("v")))
-    sizes = rows.groupBy("key").agg(F.first("group").alias("group"), F.count_if(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("u")) & finite(F.col("v"))).alias("matches"))
+    # a filter doesn't share subexpressions: each coordinate, which may be a long expression, is named once
+    whole = F.col("x") * 0.0 + F.col("y") * 0.0 + F.col("u") * 0.0 + F.col("v") * 0.0 == 0.0
+    fine = rows.where(whole).select("key", "x", "y", "u", "v")
+    sizes = save(rows.groupBy("key").agg(F.first("group").alias("group"), F.count_if(whole).alias("matches")), "sizes")
     # the sample: all matches of a small group, about ``sample`` of a large one, drawn by a hash of the match itself
     drawn = F.pmod(F.xxhash64(F.lit(s.seed), "x", "y", "u", "v"), F.lit(1 << 20)) * F.col("matches") < s.sample * (1 << 20)
     sampled = fine.join(sizes.select("key", "matches"), "key").where((F.col("matches") <= s.sample) | drawn)
     # repeated matches are drawn together; one of each will do for hypotheses, so a sample stays bounded
-    listed = sampled.select("key", "x", "y", "u", "v").distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("x", "y", "u", "v"))).alias("matches"))
-    proposed = listed.mapInArrow(lambda b: _proposed(b, s), "key string, number array<int>, map array<array<double>>")
-    maps = proposed.select("key", F.explode(F.arrays_zip("number", "map")).alias("m")).select("key", F.col("m.number").alias("number"), F.col("m.map").alias("map"))
-    voted = fine.join(maps, "key").where(_miss(F.col("map")) <= s.within)
-    votes = voted.groupBy("key", "number").agg(F.count("*").alias("votes"), F.first("map").alias("map"))
-    winner = votes.groupBy("key").agg(F.max(F.struct("votes", (-F.col("number")).alias("order"), "map")).alias("w")).where(F.col("w.votes") >= s.least).select("key", F.col("w.map").alias("map"))
+    listed = sampled.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("x", "y", "u", "v"))).alias("matches"))
+    maps = save(listed.mapInArrow(lambda b: _proposed(b, s), "key string, maps array<array<double>>, frames array<array<double>>"), "maps")
+    # a match meets its group once; hypotheses are told apart behind the join, in code short enough to be compiled
+    voted = fine.join(maps.select("key", "maps"), "key").select("key", "x", "y", "u", "v", F.posexplode("maps").alias("number", "map"))
+    votes = voted.where(_miss(F.col("map")) <= s.within).groupBy("key", "number").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("key").agg(F.max(F.struct("votes", (-F.col("number")).alias("order"))).alias("best")).where(F.col("best.votes") >= s.least)
+    number = -F.col("best.order")
+    winner = save(maps.join(best, "key").select("key", F.col("maps")[number].alias("map"), F.col("frames")[number].alias("frame")), "winner")
     inside = fine.join(winner, "key").where(_miss(F.col("map")) <= s.within)
-    centred = inside.groupBy("key").agg(*[F.avg(c).alias(f"c{c}") for c in "xyuv"], *[(F.var_pop(a) + F.var_pop(b)).alias(n) for n, a, b in (("sx", "x", "y"), ("su", "u", "v"))])
-    centred = centred.where("sx > 0 and su > 0").select("key", "cx", "cy", "cu", "cv", (F.sqrt(F.lit(2.0)) / F.sqrt("sx")).alias("kx"), (F.sqrt(F.lit(2.0)) / F.sqrt("su")).alias("ku"))
-    p, q = (F.col("x") - F.col("cx")) * F.col("kx"), (F.col("y") - F.col("cy")) * F.col("kx")
-    r, t = (F.col("u") - F.col("cu")) * F.col("ku"), (F.col("v") - F.col("cv")) * F.col("ku")
-    normalised = inside.join(centred, "key").select("key", p.alias("p"), q.alias("q"), r.alias("r"), t.alias("t"))
-    zero, one = F.lit(0.0), F.lit(1.0)
-    p, q, r, t = (F.col(c) for c in "pqrt")
-    first, second = (-p, -q, -one, zero, zero, zero, r * p, r * q, r), (zero, zero, zero, -p, -q, -one, t * p, t * q, t)
-    entries = [(first[i] * first[j] + second[i] * second[j]) for i in range(9) for j in range(i, 9)]
-    summed = normalised.groupBy("key").agg(*[F.sum(e).alias(f"n{i}") for i, e in enumerate(entries)]).join(centred, "key")
-    solved = summed.mapInArrow(_solved, "key string, h array<double>").where("h is not null")
-    scored = fine.join(solved, "key").withColumn("miss", _miss(F.col("h"))).where(F.col("miss") <= s.within)
-    scored = scored.groupBy("key").agg(F.first("h").alias("h"), F.count("*").alias("inliers"), F.sqrt(F.avg(F.col("miss") ** 2)).alias("miss")).where(F.col("inliers") >= s.least)
-    out = sizes.join(scored, "key", "left")
+    f = F.col("frame")
+    inside = inside.select("key", *[((F.col(c) - f[i]) * f[k]).alias(n) for n, c, i, k in (("p", "x", 0, 2), ("q", "y", 1, 2), ("r", "u", 3, 5), ("t", "v", 4, 5))])
+    inside = inside.withColumn("w", F.col("r") * F.col("r") + F.col("t") * F.col("t"))
+    term = lambda names: functools.reduce(operator.mul, [F.col(n) for n in names], F.lit(1.0))
+    summed = inside.groupBy("key").agg(*[F.sum(term(weight + product)).alias(f"n{weight}_{product}") for weight in WEIGHTS for product in PRODUCTS])
+    summed = summed.join(winner.select("key", "frame"), "key")
+    solved = save(summed.mapInArrow(_solved, "key string, h array<double>").where("h is not null"), "solved")
+    scored = fine.join(solved, "key").select("key", _miss(F.col("h")).alias("miss")).where(F.col("miss") <= s.within)
+    scored = scored.groupBy("key").agg(F.count("*").alias("inliers"), F.sqrt(F.avg(F.col("miss") * F.col("miss"))).alias("miss")).where(F.col("inliers") >= s.least)
+    out = sizes.join(scored.join(solved, "key"), "key", "left")
     return out.select(F.col("group").cast(kind).alias(group), "h", "matches", F.coalesce("inliers", F.lit(0).cast("bigint")).alias("inliers"), "miss")

@@ -175,6 +175,18 @@ def test_noisy_maps(spark):
     assert np.abs(project(np.array(got.h).reshape(3, 3)) - project(maps["a"])).max() < 1.5 and 260 <= got.inliers <= 285 and 0.3 < got.miss < 1.2
 
 
+def test_steps_of_maps_are_done_once(spark):
+    """No hypothesis is made again, nor a match copied for each, when the result is read; the map is the direct solution's."""
+    rows, _ = planted(spark, {"a": 400}, 0.3, noise=0.5)
+    found = homography.fit_homographies(spark.createDataFrame(rows, SCHEMA), "g", *[F.col(c) for c in "xyuv"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Generate" not in plan
+    got = found.first()
+    m = np.array([r[1:] for r in rows])
+    inside = homography._misses(np.array([got.h]).reshape(1, 3, 3), m[:, :2], m[:, 2:])[0] <= 3
+    assert inside.sum() == got.inliers and got.matches == 400
+
+
 def test_groups_without_a_map(spark):
     line = [("line", float(i), 2.0 * i, 3.0 * i, float(i)) for i in range(30)]
     odd = [("few", 0.0, 0.0, 1.0, 1.0)] * 3 + [("same", 1.0, 1.0, 2.0, 2.0)] * 50 + [("nulls", None, 1.0, 1.0, 1.0), ("nulls", float("nan"), 1.0, 1.0, 1.0)]
