@@ -12,6 +12,8 @@ are opened again in the next one, so at most a few badly filled ones remain for
 from __future__ import annotations
 
 import os
+import string
+import struct
 import threading
 import unicodedata
 import zlib
@@ -49,14 +51,14 @@ def dot_product_bins(demand: np.ndarray, capacity: np.ndarray) -> list[list[int]
     left_rows, bins = order, []
     while len(left_rows):
         left, chosen = np.ones(scaled.shape[1]), []
-        rows = left_rows
+        rows, open_ = left_rows, scaled[left_rows].T.copy()
         taken = np.zeros(len(scaled), bool)
-        while len(rows):
-            fits = (scaled[rows] <= left + 1e-12).all(axis=1)
-            rows = rows[fits & ~taken[rows]]
+        while True:
+            keep = (open_ <= left[:, None] + 1e-12).all(axis=0) & ~taken[rows]
+            rows, open_ = rows[keep], open_[:, keep]
             if not len(rows):
                 break
-            best = rows[int(np.argmax(scaled[rows] @ (weight * left)))]
+            best = rows[int(np.argmax((weight * left) @ open_))]
             chosen.append(int(best))
             taken[best] = True
             left = left - scaled[best]
@@ -176,7 +178,7 @@ class WordEncoder(dict):
 
     ENTRY = 200  # bytes of an entry besides its word and ids
 
-    def __init__(self, path: str, words: int = 48 << 20, pieces: int = 16 << 20):
+    def __init__(self, path: str, words: int = 60 << 20, pieces: int = 4 << 20):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -201,19 +203,30 @@ class WordEncoder(dict):
             if self.held_pieces > self.most_pieces:
                 self.pieces.clear()
                 self.held_pieces = 0
-            mapped = piece.encode().decode("latin-1").translate(self.alphabet)
-            found = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+            found = self.pieces[piece] = self._merged(piece.encode().decode("latin-1").translate(self.alphabet))
             self.held_pieces += self.ENTRY + len(piece) + len(found)
         return found
 
+    def _merged(self, mapped: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 1000 or max(word) > "ÿ" or not word.isprintable() or "<|" in word:
+        head = word.rstrip(string.punctuation)
+        if len(word) <= 1000 and head.isalpha() and max(head) <= "ÿ":  # one pre-token of letters, at most one of punctuation
+            low = head.lower()
+            if len(head) == len(word):
+                ids = self._merged(low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet))
+            else:
+                ids = self[low] + self._piece(word[len(head) :])
+        elif len(word) > 1000 or max(word) > "ÿ" or not word.isprintable() or "<|" in word:
             ids = self._whole(word)
         else:
-            ids = b"".join(map(self._piece, self.find(unicodedata.normalize("NFC", word).lower())))
+            # letters are held once, whether alone or beside other signs
+            ids = b"".join([self[p] if p.isalpha() and p != word else self._piece(p) for p in self.find(unicodedata.normalize("NFC", word).lower())])
         if len(word) <= 1000:
             self[word] = ids
             self.held_words += self.ENTRY + len(word) + len(ids)

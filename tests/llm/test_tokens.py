@@ -103,3 +103,14 @@ def test_long_runs_without_boundaries_are_encoded_once(monkeypatch):
         read.clear()
         assert own.count_huge(text) == len(own.sp.encode(text))
         assert sum(read) < 6 * len(text)
+
+
+def test_letters_are_held_once(monkeypatch):
+    """A word's letters are merged once, alone or beside punctuation, and ids are the library's."""
+    own, tokenizer = packing.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    merged = []
+    real = own._merged
+    monkeypatch.setattr(own, "_merged", lambda text: merged.append(text) or real(text))
+    text = "plinth plinth, (plinth) plinth's Plinth plinth. naïve naïve! x" + "y" * 999 + " " + "z" * 1001
+    assert own.text(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert merged.count("plinth") == 2 and "plinth" not in own.pieces  # once more for the capital
